@@ -65,10 +65,10 @@ def limit_by_peak(steps: Column, gain_db: Column, peak: Column, *, prevent: bool
     if prevent:
         final = F.when(over, safe).otherwise(steps)
         text = F.format_string(
-            "gain reduced from %d to %d steps to prevent clipping (peak: %.4f)", steps, safe, peak
+            "gain reduced from %d to %d steps to prevent clipping (peak: %s)", steps, safe, L.fixed_text(peak, 4)
         )
     else:
         final = steps
-        text = F.format_string("clipping warning: peak would be %.2f (>1.00)", new_peak)
+        text = F.format_string("clipping warning: peak would be %s (>1.00)", L.fixed_text(new_peak, 2))
     warn = F.lit(None).cast("string") if ignore and not prevent else F.when(over, text)
     return F.struct(final.cast("int").alias("steps"), warn.alias("warning"))

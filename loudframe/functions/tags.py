@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loudframe import constants as C
+from loudframe.functions import levels as L
 
 
 def _same(item: Column, key: str) -> Column:
@@ -70,11 +71,11 @@ def format_minmax(min_gain: Column, max_gain: Column) -> Column:
 
 
 def format_gain_tag(gain_db: Column) -> Column:
-    return F.format_string("%+.2f dB", gain_db)
+    return F.concat(L.fixed_text(gain_db, 2, sign=True), F.lit(" dB"))
 
 
 def format_peak_tag(peak: Column) -> Column:
-    return F.format_string("%.6f", peak)
+    return L.fixed_text(peak, 6)
 
 
 def parse_gain_tag(text: Column) -> Column:

@@ -14,13 +14,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loudframe import constants as C
 from loudframe import schemas
 from loudframe.functions import headers as H
 
 SIDE_BYTES = 32
-_ITEMS = "array<struct<key:string,value:string>>"
+_ITEM = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
+_ITEMS = T.ArrayType(_ITEM)
 
 
 # --- frames -----------------------------------------------------------------------
@@ -68,9 +70,8 @@ def _frame_starts(data: np.ndarray, start: int, end: int) -> np.ndarray:
     last = min(end, len(data)) - 4
     if last < start:
         return np.empty(0, np.int64)
-    at = np.nonzero((data[start:last + 1] == 0xFF) & ((data[start + 1:last + 2] & 0xFE | 1) == 0xFB)
-                    | (data[start:last + 1] == 0xFF) & ((data[start + 1:last + 2] | 1) == 0xF3)
-                    | (data[start:last + 1] == 0xFF) & ((data[start + 1:last + 2] | 1) == 0xE3))[0] + start
+    marks = (data[start:last + 1] == 0xFF) & np.isin(data[start + 1:last + 2] | 1, (0xFB, 0xF3, 0xE3))
+    at = np.nonzero(marks)[0] + start
     b1, b2 = data[at + 1].astype(np.int64), data[at + 2].astype(np.int64)
     size = _SIZES[(b1 >> 3) & 3, b2 >> 4, (b2 >> 2) & 3, (b2 >> 1) & 1]
     at, size = at[size > 0], size[size > 0]

@@ -25,8 +25,8 @@ def level_rows(measures: DataFrame, modifier_db: float = 0.0, file: str = "file"
     values = (
         P.file_name(F.col(file)),
         L.db_to_steps(gain).cast("string"),
-        F.format_string("%.6f", gain),
-        F.format_string("%.6f", F.col("peak") * F.lit(C.PCM_SCALE)),
+        L.fixed_text(gain, 6),
+        L.fixed_text(F.col("peak") * F.lit(C.PCM_SCALE), 6),
         F.col("max_gain").cast("string"),
         F.col("min_gain").cast("string"),
     )
@@ -69,9 +69,9 @@ def json_document(report: DataFrame, summary: DataFrame, album: DataFrame | None
     ]
     keyed = report.select(F.struct(F.struct(*order).alias("k"), F.struct(*fields).alias("v")).alias("r"))
     files = keyed.agg(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["v"]).alias("files"))
-    parts = files.crossJoin(summary.select(F.struct("*").alias("summary")))  # one row on each side
-    columns = ["files", "summary"]
+    columns = ["files", "album", "summary"] if album is not None else ["files", "summary"]
+    parts = files.unionByName(summary.select(F.struct("*").alias("summary")), allowMissingColumns=True)
     if album is not None:
-        parts = parts.crossJoin(album.limit(1).select(F.struct("*").alias("album")))
-        columns = ["files", "album", "summary"]
+        parts = parts.unionByName(album.limit(1).select(F.struct("*").alias("album")), allowMissingColumns=True)
+    parts = parts.agg(*[F.first(c, ignorenulls=True).alias(c) for c in columns])
     return parts.select(F.to_json(F.struct(*columns)).alias("value"))
