@@ -9,7 +9,6 @@ from loudframe.contracts.roles import (
 )
 from loudframe.functions.report import status_of
 from loudframe.operators import frames as FR
-from loudframe.operators import histogram as H
 from loudframe.operators import loudness as LO
 from loudframe.plans import reports as RP
 from loudframe.sources import sinks as SK
@@ -64,20 +63,23 @@ def report_json(spark, sf_dir):
 _FULL = 40000.0
 
 
-def _tracks(spark, sf_dir):
-    rows = LO.track_loudness(windows(spark, sf_dir), KEYS)
+def _levels(spark, sf_dir):
+    tracks, albums = LO.level_tables(windows(spark, sf_dir), KEYS, ["album"])
+    return _as_files(tracks), albums.withColumn("album_peak", F.col("album_peak") / F.lit(_FULL))
+
+
+def _as_files(tracks):
     kind = F.when(F.col("track") % 4 == 0, "mp4").otherwise("mp3")
     suffix = F.when(F.col("track") % 4 == 0, ".m4a").otherwise(".mp3")
-    return rows.select(
+    return tracks.select(
         *KEYS, F.concat(F.col("track").cast("string"), suffix).alias("file"), kind.alias("kind"), "loudness_db", "gain_db",
         (F.col("peak") / F.lit(_FULL)).alias("peak"), F.col("windows").alias("frames"),
         F.when(F.col("track") % 50 == 7, F.lit("broken")).alias("error"),
     )
 
 
-def _albums(spark, sf_dir):
-    hist = H.loudness_bins(windows(spark, sf_dir), KEYS)
-    return LO.album_loudness(hist, ["album"]).withColumn("album_peak", F.col("album_peak") / F.lit(_FULL))
+def _tracks(spark, sf_dir):
+    return _as_files(LO.track_loudness(windows(spark, sf_dir), KEYS))
 
 
 _FILES = """
@@ -119,7 +121,7 @@ WITH {ALBUMS}, {_FILES},
 rq AS (SELECT x.*, {STEPS.format('a.loudness_db')} + 13 AS req FROM x JOIN a ON x.album = a.album),
 {_apply_sql('rq')}""")
 def album_gain_report(spark, sf_dir):
-    out = RP.album_gain_report(_tracks(spark, sf_dir), _albums(spark, sf_dir), modifier_steps=13, prevent=True)
+    out = RP.album_gain_report(*_levels(spark, sf_dir), modifier_steps=13, prevent=True)
     return out.withColumn("gain_applied_db", F.round("gain_applied_db", 4)).select(*_APPLIED)
 
 
@@ -204,5 +206,5 @@ SELECT x.album, x.track, CASE WHEN error IS NULL THEN round(89e0 - gain_db, 4) E
        CASE WHEN error IS NULL THEN 'analyzed' ELSE 'error' END AS status
 FROM x JOIN a ON x.album = a.album""")
 def loudness_table(spark, sf_dir):
-    out = RP.loudness_table(_tracks(spark, sf_dir), _albums(spark, sf_dir), target_db=104.0)
+    out = RP.loudness_table(*_levels(spark, sf_dir), target_db=104.0)
     return out.withColumns({c: F.round(c, 4) for c in ("volume", "track_gain", "album_volume", "album_gain")})

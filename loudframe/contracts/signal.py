@@ -271,8 +271,7 @@ WITH {ALBUMS}
 SELECT t.album, t.track, t.loudness_db, a.loudness_db AS album_loudness_db, a.peak AS album_peak
 FROM t LEFT JOIN a USING (album)""")
 def join_album(spark, sf_dir):
-    hist = H.loudness_bins(windows(spark, sf_dir), KEYS, keep_outside=True)
-    joined = LO.join_album(LO.track_levels(hist, KEYS), LO.album_loudness(hist, ["album"]), ["album"])
+    joined = LO.join_album(*LO.level_tables(windows(spark, sf_dir), KEYS, ["album"]), ["album"])
     return joined.select(*KEYS, "loudness_db", "album_loudness_db", "album_peak")
 
 
@@ -286,9 +285,9 @@ SELECT x.album, tracks, failed, CASE WHEN failed > 0 THEN 'broken' END AS error,
        CASE WHEN failed = 0 THEN a.loudness_db END AS album_loudness_db
 FROM x LEFT JOIN a USING (album)""")
 def album_fail_fast(spark, sf_dir):
-    hist = H.loudness_bins(windows(spark, sf_dir), KEYS, keep_outside=True)
-    tracks = LO.track_levels(hist, KEYS).withColumn("error", F.expr(f"CASE WHEN {_FAILED} THEN 'broken' END"))
-    out = LO.fail_fast_albums(tracks, LO.album_loudness(hist, ["album"]), ["album"])
+    tracks, albums = LO.level_tables(windows(spark, sf_dir), KEYS, ["album"])
+    tracks = tracks.withColumn("error", F.expr(f"CASE WHEN {_FAILED} THEN 'broken' END"))
+    out = LO.fail_fast_albums(tracks, albums, ["album"])
     return out.select("album", "tracks", "failed", "error", "album_loudness_db")
 
 

@@ -161,9 +161,9 @@ def uint_be(data: Column) -> Column:
 
 
 def uint32_le(data: Column) -> Column:
-    """Little-endian unsigned 32-bit integer from the first four bytes."""
-    b = lambda i: uint_be(F.substring(data, i, 1))
-    return b(1) + b(2) * 256 + b(3) * 65536 + b(4) * 16777216
+    """Little-endian unsigned integer of four bytes."""
+    swapped = F.regexp_replace(F.hex(data), "^(..)(..)(..)(..)$", "$4$3$2$1")
+    return F.conv(swapped, 16, 10).cast("bigint")
 
 
 def synchsafe(data: Column) -> Column:

@@ -49,8 +49,13 @@ def to_decimals(value: Column, digits: int) -> Column:
 
 
 def fixed_text(value: Column, digits: int, sign: bool = False) -> Column:
-    """Text with a fixed number of decimals, optionally with a leading plus sign."""
-    return F.format_string(f"%{'+' if sign else ''}.{digits}f", to_decimals(value, digits))
+    """Text with a fixed number of decimals, optionally with a leading plus sign.
+
+    The one-element array evaluates ``value`` once; written out it would be repeated dozens
+    of times in the expression. Text is only made for report rows, never per sample.
+    """
+    rounded = F.get(F.transform(F.array(value), lambda v: to_decimals(v, digits)), F.lit(0))
+    return F.format_string(f"%{'+' if sign else ''}.{digits}f", rounded)
 
 
 def db_to_steps(db: Column) -> Column:

@@ -17,7 +17,7 @@ DAY = 86400
 def gain_ledger(ledger: DataFrame, keys: Sequence[str] = ("path",), order: Sequence[str] = _ORDER,
                 steps: str = "steps", block: Column | None = None) -> DataFrame:
     """The undo value after each entry."""
-    block = time_blocks(order[0], 30 * DAY) if block is None else block
+    block = time_blocks(order[0], DAY) if block is None else block
     return running_totals(ledger, keys, order, {"undo": F.col(steps).cast("bigint")}, block)
 
 
@@ -28,7 +28,7 @@ def channel_ledger(ledger: DataFrame, keys: Sequence[str] = ("path",), order: Se
     ``compat`` follows tools that store only the left value when both channels change: the
     right value is then overwritten by the left one.
     """
-    block = time_blocks(order[0], 30 * DAY) if block is None else block
+    block = time_blocks(order[0], DAY) if block is None else block
     steps, channel = F.col("steps").cast("bigint"), F.col("channel")
     none = F.lit(0).cast("bigint")
     left = F.when(channel.isNull() | (channel == 0), steps).otherwise(none)
@@ -46,7 +46,7 @@ def channel_ledger(ledger: DataFrame, keys: Sequence[str] = ("path",), order: Se
 def first_minmax(ledger: DataFrame, keys: Sequence[str] = ("path",), order: Sequence[str] = _ORDER,
                  block: Column | None = None) -> DataFrame:
     """The original gain range, stored once and carried along."""
-    block = time_blocks(order[0], 30 * DAY) if block is None else block
+    block = time_blocks(order[0], DAY) if block is None else block
     pair = F.when(F.col("min_gain").isNotNull(), T.format_minmax(F.col("min_gain"), F.col("max_gain")))
     return running_totals(ledger, keys, order, {}, block, firsts={"minmax": pair})
 

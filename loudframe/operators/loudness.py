@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loudframe.functions import levels as L
 from loudframe.operators.histogram import loudness_bins, merge_histograms, percentile_loudness
+from loudframe.session import durable
 
 
 def _with_gain(levels: DataFrame) -> DataFrame:
@@ -39,6 +40,16 @@ def album_loudness(hist: DataFrame, album: Sequence[str]) -> DataFrame:
     )
 
 
+def level_tables(windows: DataFrame, keys: Sequence[str], album: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Track levels and album levels from window sums, reading the signal once.
+
+    Both sides of a later join of the two would otherwise run the whole pipeline. The
+    histogram, at most 12,000 small rows per track, is stored in between.
+    """
+    hist = durable(loudness_bins(windows, keys, keep_outside=True))
+    return track_levels(hist, keys), album_loudness(hist, album)
+
+
 def loudness_rollup(hist: DataFrame, album: str = "album", track: str = "track") -> DataFrame:
     """Track, album and library levels in one pass over the histogram rows."""
     counted = hist.groupingSets(
