@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loudframe.contracts.roles import (
-    FRAME_GAINS, FRAMES, GAINS, PATHS, REQUESTS, contract, frames, gain_requests, gains, paths, table,
+    FRAME_GAINS, FRAMES, GAINS, PATHS, REQUESTS, contract, frames, gain_requests, gains, paths, spread, table,
 )
 from loudframe.functions import gains as G
 from loudframe.functions import headers as HD
@@ -181,17 +181,25 @@ def drop_rows(spark, sf_dir):
 # --- files --------------------------------------------------------------------------------
 
 
-def _zeros(n) -> Column:
-    return F.repeat(F.lit("00"), F.lit(n) if isinstance(n, int) else n)
+def _zeros(n: int) -> Column:
+    return F.lit(bytes(n))
 
 
-def _be32(n) -> Column:
-    return F.lpad(F.hex(n), 8, "0")
+def _text(value: str) -> Column:
+    return F.lit(value.encode())
 
 
-def _le32(n) -> Column:
-    h = _be32(n)
-    return F.concat(*[F.substring(h, i, 2) for i in (7, 5, 3, 1)])
+def _be32(n: Column) -> Column:
+    return F.unhex(F.lpad(F.hex(n.cast("bigint")), 8, "0"))
+
+
+def _le32(n: Column) -> Column:
+    return F.unhex(F.regexp_replace(F.lpad(F.hex(n.cast("bigint")), 8, "0"), "(..)(..)(..)(..)", "$4$3$2$1"))
+
+
+def _join(*parts: Column) -> Column:
+    """Bytes end to end; NULL parts are left out."""
+    return F.concat(*[F.coalesce(p, F.lit(b"")) for p in parts])
 
 
 @contract("""
@@ -202,7 +210,7 @@ def sniff_kind(spark, sf_dir):
     i = F.col("page_id")
     brand = F.when((i % 4 == 2) & (i % 3 == 0), F.lit("qt  ")).otherwise(F.element_at(brands, (i % 4 + 1).cast("int")))
     size = F.when(i % 4 == 3, F.lit(11)).otherwise(F.lit(20))
-    box = F.unhex(F.concat(_be32(size), F.hex(F.concat(F.lit("ftyp"), brand))))
+    box = _join(_be32(size), _text("ftyp"), F.encode(brand, "UTF-8"))
     body = F.encode("html", "UTF-8")
     content = F.when(i % 4 == 1, body).otherwise(F.concat(box, body))
     return table(spark, sf_dir, "pages").select("page_id", HD.sniff_kind(content).alias("kind"))
@@ -214,23 +222,20 @@ def _order_files(spark, sf_dir):
     Stereo frames of 96 bytes (32 kbit/s at 48 kHz) whose side information repeats one byte.
     """
     k = F.col("o_orderkey")
-    header = F.lit("FFFB1400")
-    side = F.repeat(F.lpad(F.hex(k % 251), 2, "0"), F.lit(32))
-    frame = F.concat(header, side, _zeros(60))
-    summary = F.concat(header, _zeros(32), F.hex(F.lit("Xing")), _zeros(56))
-    id3 = F.concat(F.hex(F.lit("ID3")), F.lit("040000"), F.lit("00000105"), _zeros(133))
-    ape = F.concat(F.hex(F.lit("APETAGEX")), _le32(F.lit(2000)), _le32(F.lit(32)), _zeros(4), _zeros(12))
-    v1 = F.concat(F.hex(F.lit("TAG")), _zeros(125))
-    empty = F.lit("")
-    content = F.concat(
-        F.when(k % 3 == 0, id3).otherwise(empty),
-        F.when(k % 4 == 1, F.lit("FFFB00FF1234")).otherwise(empty),
-        F.when(k % 5 == 0, summary).otherwise(empty),
-        F.repeat(frame, (k % 3 + 1).cast("int")),
-        F.when(k % 2 == 0, ape).otherwise(empty),
-        F.when(k % 7 == 0, v1).otherwise(empty),
+    header = F.lit(bytes.fromhex("FFFB1400"))
+    frame = F.unhex(F.concat(F.lit("FFFB1400"), F.repeat(F.lpad(F.hex(k % 251), 2, "0"), F.lit(32)), F.lit("00" * 60)))
+    ape = _join(_text("APETAGEX"), _le32(F.lit(2000)), _le32(F.lit(32)), _zeros(16))
+    content = _join(
+        F.when(k % 3 == 0, F.lit(b"ID3\4\0\0\0\0\1\5" + bytes(133))),
+        F.when(k % 4 == 1, F.lit(bytes.fromhex("FFFB00FF1234"))),
+        F.when(k % 5 == 0, _join(header, _zeros(32), _text("Xing"), _zeros(56))),
+        frame,
+        F.when(k % 3 >= 1, frame),
+        F.when(k % 3 == 2, frame),
+        F.when(k % 2 == 0, ape),
+        F.when(k % 7 == 0, F.lit(b"TAG" + bytes(125))),
     )
-    return table(spark, sf_dir, "orders").select(k.alias("path"), F.unhex(content).alias("content"))
+    return spread(table(spark, sf_dir, "orders").select(k)).select(k.alias("path"), content.alias("content"))
 
 
 @contract("""
@@ -246,10 +251,9 @@ FROM o""")
 def frames_job(spark, sf_dir):
     """From file contents to frames to gain values."""
     files = _order_files(spark, sf_dir).withColumn("path", F.col("path").cast("string"))
-    g = HD.frame_gains(F.col("header_word"), F.col("side_info"), F.col("frame_offset"))
-    return FS.frame_rows(files).withColumn("g", g).select(
-        "path", "frame_no", "frame_offset", "header_word", *[F.get("g", F.lit(i))["gain"].alias(f"g{i}") for i in range(4)]
-    )
+    shaped = FR.with_layout(FS.frame_rows(files))
+    gain = [HD.gain_column(F.col("__v"), F.col("__m"), F.col("__x"), i).alias(f"g{i}") for i in range(4)]
+    return shaped.select("path", "frame_no", "frame_offset", "header_word", *gain)
 
 
 # --- gain values and plans ------------------------------------------------------------------

@@ -39,6 +39,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt evenly over the cluster, before they grow into whole file contents.
+
+    A directory of real files is split by size when it is listed; a small table is one split.
+    """
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 # --- samples ------------------------------------------------------------------------
 
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loudframe.contracts.frames import _be32, _le32, _zeros
-from loudframe.contracts.roles import TAGS, TRACKS, contract, table, tags
-from loudframe.contracts.roles import KEYS, windows
+from loudframe.contracts.frames import _be32, _join, _le32, _text, _zeros
+from loudframe.contracts.roles import KEYS, TAGS, TRACKS, contract, spread, table, tags, windows
 from loudframe.functions import tags as T
 from loudframe.operators import loudness as LO
 from loudframe.operators import tagtables as TT
@@ -210,8 +209,8 @@ def tag_report(spark, sf_dir):
 # --- file contents ----------------------------------------------------------------------------
 
 
-def _hex_text(value: Column) -> Column:
-    return F.hex(F.encode(value, "UTF-8"))
+def _utf8(value: Column) -> Column:
+    return F.encode(value, "UTF-8")
 
 
 def _tagged_documents(spark, sf_dir):
@@ -219,21 +218,15 @@ def _tagged_documents(spark, sf_dir):
     d = F.col("doc_id")
 
     def item(key: str, value: Column) -> Column:
-        return F.concat(_le32(F.octet_length(value)), _zeros(4), F.hex(F.lit(key)), F.lit("00"), _hex_text(value))
+        return _join(_le32(F.octet_length(value)), _zeros(4), _text(key), _zeros(1), _utf8(value))
 
-    items = F.concat(
-        item("Language", F.col("lang")), item("SOURCE", F.col("source")), item("Start", F.substring("text", 1, 20))
-    )
-    size = F.length(items) / 2 + 32
+    items = _join(item("Language", F.col("lang")), item("SOURCE", F.col("source")), item("Start", F.substring("text", 1, 20)))
     version = F.when(d % 7 == 0, 1000).otherwise(2000)
-    footer = F.concat(F.hex(F.lit("APETAGEX")), _le32(version), _le32(size.cast("bigint")), _le32(F.lit(3)), _zeros(12))
-    v1 = F.concat(F.hex(F.lit("TAG")), _zeros(125))
-    content = F.concat(
-        _hex_text(F.col("text")),
-        F.when(d % 5 != 0, F.concat(items, footer)).otherwise(F.lit("")),
-        F.when(d % 3 == 0, v1).otherwise(F.lit("")),
-    )
-    return table(spark, sf_dir, "documents").select(d.cast("string").alias("path"), F.unhex(content).alias("content"))
+    size = F.length("items") + 32
+    footer = _join(_text("APETAGEX"), _le32(version), _le32(size), _le32(F.lit(3)), _zeros(12))
+    content = _join(_utf8(F.col("text")), F.when(d % 5 != 0, _join(F.col("items"), footer)), F.when(d % 3 == 0, F.lit(b"TAG" + bytes(125))))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return docs.withColumn("items", items).select(d.cast("string").alias("path"), content.alias("content"))
 
 
 @contract("""
@@ -249,27 +242,25 @@ def _boxed_documents(spark, sf_dir):
     d = F.col("doc_id")
 
     def box(kind: str, *body: Column) -> Column:
-        inner = F.concat(*body)
-        return F.concat(_be32((F.length(inner) / 2 + 8).cast("bigint")), F.hex(F.lit(kind)), inner)
+        inner = _join(*body)
+        return _join(_be32(F.length(inner) + 8), _text(kind), inner)
 
     def free(space: str, key: str, value: Column) -> Column:
-        return box("----", box("mean", _zeros(4), F.hex(F.lit(space))), box("name", _zeros(4), F.hex(F.lit(key))),
-                   box("data", F.lit("0000000100000000"), _hex_text(value)))
+        return box("----", box("mean", _zeros(4), _text(space)), box("name", _zeros(4), _text(key)),
+                   box("data", F.lit(b"\0\0\0\1\0\0\0\0"), _utf8(value)))
 
-    ilst = box(
-        "ilst",
+    ilst = _join(
         free("com.apple.iTunes", "replaygain_track_gain", F.col("source")),
         free("com.apple.iTunes", "REPLAYGAIN_ALBUM_PEAK", F.col("lang")),
         free("org.example", "replaygain_track_peak", F.lit("x")),
         free("com.apple.iTunes", "encoder", F.lit("y")),
-        F.when(d % 3 == 0, free("com.apple.iTunes", "replaygain_track_gain", F.lit("newer"))).otherwise(F.lit("")),
-    )
-    moov = box("moov", box("mvhd", _zeros(8)), box("udta", box("meta", _zeros(4), box("hdlr", _zeros(4)), ilst)))
-    content = F.concat(
-        box("ftyp", F.hex(F.lit("M4A isom"))), box("mdat", _hex_text(F.col("text"))),
-        F.when(d % 4 != 0, moov).otherwise(F.lit("")),
+        F.when(d % 3 == 0, free("com.apple.iTunes", "replaygain_track_gain", F.lit("newer"))),
     )
-    return table(spark, sf_dir, "documents").select(d.cast("string").alias("path"), F.unhex(content).alias("content"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).withColumn("tags", ilst)
+    docs = docs.withColumn("meta", box("meta", _zeros(4), box("hdlr", _zeros(4)), box("ilst", F.col("tags"))))
+    moov = box("moov", box("mvhd", _zeros(8)), box("udta", F.col("meta")))
+    content = _join(box("ftyp", _text("M4A isom")), box("mdat", _utf8(F.col("text"))), F.when(d % 4 != 0, moov))
+    return docs.select(d.cast("string").alias("path"), content.alias("content"))
 
 
 @contract("""

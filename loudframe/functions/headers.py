@@ -102,57 +102,86 @@ def side_info_start(crc: Column) -> Column:
     return F.when(crc, 6).otherwise(4)
 
 
-def gain_locations(ver: Column, mode: Column, crc: Column, frame_offset: Column) -> Column:
-    """Positions of the gain fields of a frame, granule by granule, channel by channel.
+def gain_fields(full: bool, mono: bool) -> list[tuple[int, int, int]]:
+    """(granule, channel, bit in the side information) of a frame layout.
+
+    ``full`` frames (MPEG1) have two granules, the others one.
+    """
+    channels = 1 if mono else 2
+    lead, stride = ((18 if mono else 20), 59) if full else ((9 if mono else 10), 63)
+    return [
+        (i // channels, i % channels, lead + i * stride + 21) for i in range(channels * (2 if full else 1))
+    ]
+
+
+def by_layout(ver: Column, mode: Column, make) -> Column:
+    """``make(full, mono)`` for the layout of each row.
 
-    ``side_bit`` counts from the start of the side information; ``byte_offset`` and
-    ``bit_offset`` address the field in the file.
+    Only four layouts exist, so every field position is a literal and the whole expression
+    compiles; a loop over positions inside the expression would be interpreted per frame.
     """
-    channels, granules = channel_count(mode), granule_count(ver)
-    lead = (
-        F.when((ver == _MPEG1) & (channels == 1), 18)
-        .when(ver == _MPEG1, 20)
-        .when(channels == 1, 9)
-        .otherwise(10)
+    full, mono = ver == _MPEG1, mode == "Mono"
+    return (
+        F.when(full & ~mono, make(True, False))
+        .when(full, make(True, True))
+        .when(~mono, make(False, False))
+        .otherwise(make(False, True))
     )
-    stride = F.when(ver == _MPEG1, 59).otherwise(63)
+
+
+def _place(start: Column, gr: int, ch: int, bit: int) -> list[Column]:
+    return [
+        F.lit(gr).alias("gr"),
+        F.lit(ch).alias("ch"),
+        (start + F.lit(bit // 8)).cast("bigint").alias("byte_offset"),
+        F.lit(bit % 8).alias("bit_offset"),
+    ]
+
+
+def gain_locations(ver: Column, mode: Column, crc: Column, frame_offset: Column) -> Column:
+    """Positions of the gain fields of a frame in its file, granule by granule, channel by channel."""
     start = frame_offset + side_info_start(crc)
 
-    def at(i: Column) -> Column:
-        bit = lead + i * stride + F.lit(21)
-        return F.struct(
-            int_div(i, channels).cast("int").alias("gr"),
-            (i % channels).cast("int").alias("ch"),
-            (start + int_div(bit, 8)).cast("bigint").alias("byte_offset"),
-            (bit % 8).cast("int").alias("bit_offset"),
-            bit.cast("int").alias("side_bit"),
-        )
+    def make(full: bool, mono: bool) -> Column:
+        return F.array(*[F.struct(*_place(start, *field)) for field in gain_fields(full, mono)])
+
+    return by_layout(ver, mode, make)
+
+
+def read_gain_hex(digits: Column, bit: int) -> Column:
+    """Eight bits at a bit position of data given as hex digits; bits past the end read as zero."""
+    pair = F.rpad(F.substring(digits, bit // 8 * 2 + 1, 4), 4, "0")
+    return F.shiftright(F.conv(pair, 16, 10).cast("int"), 8 - bit % 8).bitwiseAND(F.lit(255))
+
 
-    return F.transform(F.sequence(F.lit(0), granules * channels - 1), at)
+def read_gain(data: Column, bit: int) -> Column:
+    """Eight bits at any bit position of binary data."""
+    return read_gain_hex(F.hex(data), bit)
 
 
-def read_gain(data: Column, bit: Column) -> Column:
-    """Eight bits at any bit position; bits past the end of the data read as zero."""
-    first = int_div(bit, 8).cast("int") + 1
-    pair = F.rpad(F.substring(data, first, F.lit(2)), 2, F.lit(bytes(1)))
-    word = F.conv(F.hex(pair), 16, 10).cast("int")
-    shift = F.lit(8) - (bit % 8)
-    return F.call_function("shiftright", word, shift.cast("int")).bitwiseAND(F.lit(255))
+def gain_column(ver: Column, mode: Column, digits: Column, index: int) -> Column:
+    """The gain field number ``index`` of a frame, NULL where the layout has fewer fields."""
+
+    def make(full: bool, mono: bool) -> Column:
+        fields = gain_fields(full, mono)
+        return read_gain_hex(digits, fields[index][2]) if index < len(fields) else F.lit(None).cast("int")
+
+    return by_layout(ver, mode, make)
 
 
 def frame_gains(word: Column, side_info: Column, frame_offset: Column) -> Column:
     """Array of (gr, ch, byte_offset, bit_offset, gain) for one frame."""
-    places = gain_locations(version(word), channel_mode(word), has_crc(word), frame_offset)
-    return F.transform(
-        places,
-        lambda p: F.struct(
-            p["gr"].alias("gr"),
-            p["ch"].alias("ch"),
-            p["byte_offset"].alias("byte_offset"),
-            p["bit_offset"].alias("bit_offset"),
-            read_gain(side_info, p["side_bit"]).alias("gain"),
-        ),
-    )
+    ver, mode = version(word), channel_mode(word)
+    start = frame_offset + side_info_start(has_crc(word))
+    digits = F.hex(side_info)
+
+    def make(full: bool, mono: bool) -> Column:
+        return F.array(*[
+            F.struct(*_place(start, *field), read_gain_hex(digits, field[2]).alias("gain"))
+            for field in gain_fields(full, mono)
+        ])
+
+    return by_layout(ver, mode, make)
 
 
 def uint_be(data: Column) -> Column:

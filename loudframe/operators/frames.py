@@ -49,6 +49,14 @@ def join_format_tables(frames: DataFrame, word: str = "header_word") -> DataFram
     return keyed.join(F.broadcast(rates), ["mpeg_version", "rate_index"], "left").drop("bitrate_index", "rate_index")
 
 
+def with_layout(frames: DataFrame) -> DataFrame:
+    """Add version, channel mode and the hex digits of the side information, each computed once."""
+    word = F.col("header_word")
+    return frames.withColumns({
+        "__v": H.version(word), "__m": H.channel_mode(word), "__x": F.hex("side_info"),
+    })
+
+
 def gain_rows(frames: DataFrame) -> DataFrame:
     """One row per granule and channel with the position and value of its gain field."""
     gains = H.frame_gains(F.col("header_word"), F.col("side_info"), F.col("frame_offset"))
@@ -67,21 +75,18 @@ def frame_stats(frames: DataFrame, path: str = "path") -> DataFrame:
 
     The gains of a frame are reduced inside its row, so one row per frame is aggregated.
     """
-    gains = F.transform(
-        H.frame_gains(F.col("header_word"), F.col("side_info"), F.col("frame_offset")), lambda g: g["gain"]
-    )
-    word = F.col("header_word")
-    per_frame = frames.select(
-        F.col(path), "frame_offset", gains.alias("gains"), H.version(word).alias("v"), H.channel_mode(word).alias("m")
-    ).select(
+    shaped = with_layout(frames)
+    fields = [H.gain_column(F.col("__v"), F.col("__m"), F.col("__x"), i).alias(f"__g{i}") for i in range(4)]
+    gains = [F.col(f"__g{i}") for i in range(4)]
+    per_frame = shaped.select(F.col(path), "frame_offset", F.col("__v").alias("v"), F.col("__m").alias("m"), *fields).select(
         F.col(path),
         "frame_offset",
         "v",
         "m",
-        F.array_min("gains").alias("lo"),
-        F.array_max("gains").alias("hi"),
-        F.aggregate("gains", F.lit(0).cast("bigint"), lambda a, g: a + g).alias("sum"),
-        F.size("gains").alias("cnt"),
+        F.least(*gains).alias("lo"),
+        F.greatest(*gains).alias("hi"),
+        sum((F.coalesce(g, F.lit(0)) for g in gains), F.lit(0).cast("bigint")).alias("sum"),
+        sum((F.when(g.isNotNull(), 1).otherwise(0) for g in gains), F.lit(0)).alias("cnt"),
     )
     return _summary(
         per_frame,

@@ -188,7 +188,7 @@ def test_header_examples(spark):
 
 def test_unaligned_reads(spark):
     data = F.unhex(F.lit("ABCDEF1234"))
-    cols = [H.read_gain(data, F.lit(bit)) for bit in (8, 12, 36, 40, 400)]
+    cols = [H.read_gain(data, bit) for bit in (8, 12, 36, 40, 400)]
     assert tuple(spark.range(1).select(*cols).first()) == (0xCD, 0xDE, 0x40, 0, 0)
 
 
