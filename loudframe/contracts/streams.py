@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loudframe.contracts.roles import LEDGER, contract, ledger, packets, table
+from loudframe import constants as C
+from loudframe.contracts.roles import LEDGER, PATHS, contract, ledger, packets, paths, table
+from loudframe.contracts.signal import FILTERED
 from loudframe.operators import filtering as FI
 from loudframe.operators import ordered as O
 from loudframe.session import fresh_path
+from loudframe.sources import catalog as CA
 from loudframe.streaming import filter as SF
 from loudframe.streaming import ledger as SLE
 from loudframe.streaming import levels as SL
@@ -61,7 +64,10 @@ class _Replay:
         return _replay(self._spark, folder, name.removesuffix(".parquet"))
 
 
-@contract()
+@contract(f"""
+WITH {FILTERED}
+SELECT track, n // 2205 AS window_no, count(*) AS samples, round(sum(2e0 * z * z) / 1e6) AS energy, TRUE AS same_as_batch
+FROM z GROUP BY ALL HAVING count(*) = 2205""")
 def stream_filter(spark, sf_dir):
     """Complete 50 ms windows of the filtered packets, equal to the batch result."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", SF.PROVIDER)
@@ -77,5 +83,17 @@ def stream_filter(spark, sf_dir):
     )
     close = F.abs(F.col("sum_squares") / F.col("batch_sum") - 1) < 1e-6
     return live.join(batch, ["track", "window_no"], "left").select(
-        "track", "window_no", "samples", F.round("sum_squares", 0).alias("energy"), close.alias("same_as_batch")
+        "track", "window_no", "samples", F.round(F.col("sum_squares") / 1e6).alias("energy"), close.alias("same_as_batch")
     )
+
+
+@contract(f"""
+WITH {PATHS}
+SELECT path, length FROM f WHERE lower(regexp_extract(path, '\\.([^./]+)$', 1)) IN ('mp3', 'm4a', 'aac', 'mp4')""")
+def incremental_catalog(spark, sf_dir):
+    """New paths are appended to a JSON log once; a second run finds nothing new."""
+    found = CA.catalog_filter(paths(_Replay(spark), sf_dir), extensions=C.AUDIO_EXTENSIONS, skip_forks=False)
+    target = fresh_path(spark, "incremental-catalog")
+    for _ in range(2):
+        CA.append_new_files(found.select("path", "length"), f"{target}/log", f"{target}/checkpoint").awaitTermination()
+    return spark.read.schema("path string, length bigint").json(f"{target}/log")

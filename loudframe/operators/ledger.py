@@ -8,21 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loudframe.functions import tags as T
-from loudframe.operators.ordered import running_totals, time_blocks
+from loudframe.operators.ordered import HOT_ROWS, running_totals, time_blocks
 
 _ORDER = ("ts", "id")
 DAY = 86400
 
 
 def gain_ledger(ledger: DataFrame, keys: Sequence[str] = ("path",), order: Sequence[str] = _ORDER,
-                steps: str = "steps", block: Column | None = None) -> DataFrame:
+                steps: str = "steps", block: Column | None = None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """The undo value after each entry."""
     block = time_blocks(order[0], DAY) if block is None else block
-    return running_totals(ledger, keys, order, {"undo": F.col(steps).cast("bigint")}, block)
+    return running_totals(ledger, keys, order, {"undo": F.col(steps).cast("bigint")}, block, hot_rows=hot_rows)
 
 
 def channel_ledger(ledger: DataFrame, keys: Sequence[str] = ("path",), order: Sequence[str] = _ORDER,
-                   block: Column | None = None, compat: bool = False) -> DataFrame:
+                   block: Column | None = None, compat: bool = False, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Left and right undo values after each entry; a NULL channel means both.
 
     ``compat`` follows tools that store only the left value when both channels change: the
@@ -34,21 +34,21 @@ def channel_ledger(ledger: DataFrame, keys: Sequence[str] = ("path",), order: Se
     left = F.when(channel.isNull() | (channel == 0), steps).otherwise(none)
     if not compat:
         right = F.when(channel.isNull() | (channel == 1), steps).otherwise(none)
-        return running_totals(ledger, keys, order, {"left_undo": left, "right_undo": right}, block)
+        return running_totals(ledger, keys, order, {"left_undo": left, "right_undo": right}, block, hot_rows=hot_rows)
     only_right = F.when(channel == 1, steps).otherwise(none)
-    first = running_totals(ledger, keys, order, {"left_undo": left, "__right": only_right}, block)
+    first = running_totals(ledger, keys, order, {"left_undo": left, "__right": only_right}, block, hot_rows=hot_rows)
     shift = F.when(channel.isNull(), F.col("left_undo") - F.col("__right"))
-    second = running_totals(first, keys, order, {}, block, lasts={"__shift": shift})
+    second = running_totals(first, keys, order, {}, block, lasts={"__shift": shift}, hot_rows=hot_rows)
     right = F.col("__right") + F.coalesce("__shift", none)
     return second.withColumn("right_undo", right).drop("__right", "__shift")
 
 
 def first_minmax(ledger: DataFrame, keys: Sequence[str] = ("path",), order: Sequence[str] = _ORDER,
-                 block: Column | None = None) -> DataFrame:
+                 block: Column | None = None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """The original gain range, stored once and carried along."""
     block = time_blocks(order[0], DAY) if block is None else block
     pair = F.when(F.col("min_gain").isNotNull(), T.format_minmax(F.col("min_gain"), F.col("max_gain")))
-    return running_totals(ledger, keys, order, {}, block, firsts={"minmax": pair})
+    return running_totals(ledger, keys, order, {}, block, firsts={"minmax": pair}, hot_rows=hot_rows)
 
 
 def ledger_state(ledger: DataFrame, keys: Sequence[str] = ("path",), order: Sequence[str] = _ORDER) -> DataFrame:

@@ -1,7 +1,7 @@
 """Running totals and positions inside very long ordered groups.
 
 A window over a whole key puts that key into one task, which fails when one track or file
-holds a large part of all rows. Here every key is cut into blocks that follow the order:
+holds a large part of all rows. Here long keys are cut into blocks that follow the order:
 totals per block are pre-aggregated, their running sum is taken over the (few) blocks, and
 the window over rows only ever sees one block. The result is exact.
 """
@@ -17,6 +17,8 @@ from loudframe.functions.levels import int_div
 from loudframe.session import durable
 
 _BLOCK = "__block"
+MAX_HOT_KEYS = 1000
+HOT_ROWS = 1_000_000
 
 
 def time_blocks(ts: str, seconds: int = 3600) -> Column:
@@ -46,17 +48,35 @@ def with_range_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return durable(ranged.withColumn(name, F.spark_partition_id()))
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], more_than: int) -> DataFrame:
+    """The largest keys with more than some number of rows, at most ``MAX_HOT_KEYS`` of them.
+
+    Whatever is left out has at most ``max(more_than, rows / MAX_HOT_KEYS)`` rows per key.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__cnt"))
+    largest = counts.where(F.col("__cnt") > more_than).orderBy(F.col("__cnt").desc(), *keys).limit(MAX_HOT_KEYS)
+    return largest.select(*keys, F.lit(True).alias("__hot"))
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column],
                    block: Column, firsts: dict[str, Column] | None = None,
-                   lasts: dict[str, Column] | None = None) -> DataFrame:
+                   lasts: dict[str, Column] | None = None, hot_rows: int | None = None) -> DataFrame:
     """Add inclusive running values per key: sums, first and last non-NULL values so far.
 
     ``block`` must not decrease along ``order`` inside a key; ``keys`` must not be NULL.
+    Blocks pay off when they hold many rows. With ``hot_rows`` only keys with more rows than
+    that are cut; the list of such keys has a fixed maximal length and is broadcast.
     """
     keys, order, firsts, lasts = list(keys), list(order), firsts or {}, lasts or {}
-    rows = df.withColumn(_BLOCK, block)
+    if hot_rows is None:
+        rows = df.withColumn(_BLOCK, block)
+        cut = rows
+    else:
+        marked = df.join(F.broadcast(hot_keys(df, keys, hot_rows)), keys, "left")
+        rows = marked.withColumn(_BLOCK, F.when(F.col("__hot"), block))
+        cut = rows.where("__hot")
     spot = F.struct(*order)
-    totals = rows.groupBy(*keys, _BLOCK).agg(
+    totals = cut.groupBy(*keys, _BLOCK).agg(
         *[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()],
         *[F.min_by(c, F.when(c.isNotNull(), spot)).alias(f"__t_{n}") for n, c in firsts.items()],
         *[F.max_by(c, F.when(c.isNotNull(), spot)).alias(f"__t_{n}") for n, c in lasts.items()],
@@ -92,14 +112,18 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sum
 
 
 def sample_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | None = None,
-                 name: str = "n") -> DataFrame:
-    """Add the zero-based position of each row in its key."""
+                 name: str = "n", hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Add the zero-based position of each row in its key.
+
+    With ``block``, keys of more than ``hot_rows`` rows are cut along it; without, all rows
+    are range-partitioned, which needs no property of the order but a durable copy.
+    """
+    one = {name: F.lit(1).cast("bigint")}
     if block is None:
-        df = with_range_blocks(df, keys, order)
-        out = running_totals(df, keys, order, {name: F.lit(1).cast("bigint")}, F.col("range_block"))
-        out = out.drop("range_block")
+        ranged = with_range_blocks(df, keys, order)
+        out = running_totals(ranged, keys, order, one, F.col("range_block")).drop("range_block")
     else:
-        out = running_totals(df, keys, order, {name: F.lit(1).cast("bigint")}, block)
+        out = running_totals(df, keys, order, one, block, hot_rows=hot_rows)
     return out.withColumn(name, F.col(name) - 1)
 
 

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from loudframe import schemas
@@ -62,16 +63,17 @@ def ledger(spark, rows):
     return df.withColumn("ts", F.timestamp_seconds(F.col("ts") * 40000))
 
 
-def test_ledger(spark):
+@pytest.mark.parametrize("hot", [{}, {"hot_rows": 2}, {"hot_rows": None}])
+def test_ledger(spark, hot):
     rows = [("a", 1, None, 2, False, 10, 20), ("a", 2, 0, 3, False, 11, 21), ("a", 9, 1, -1, False, 1, 2),
             ("a", 20, None, 4, True, 5, 6), ("b", 1, 1, 5, False, None, None), ("b", 50, None, -5, False, 7, 8)]
     df = ledger(spark, rows)
-    run = {r.id: (r.left_undo, r.right_undo) for r in LE.channel_ledger(df).collect()}
+    run = {r.id: (r.left_undo, r.right_undo) for r in LE.channel_ledger(df, **hot).collect()}
     assert run == {0: (2, 2), 1: (5, 2), 2: (5, 1), 3: (9, 5), 4: (0, 5), 5: (-5, 0)}
     # Storing only the left value makes a change of both channels overwrite the right one.
-    compat = {r.id: (r.left_undo, r.right_undo) for r in LE.channel_ledger(df, compat=True).collect()}
+    compat = {r.id: (r.left_undo, r.right_undo) for r in LE.channel_ledger(df, compat=True, **hot).collect()}
     assert compat == {0: (2, 2), 1: (5, 2), 2: (5, 1), 3: (9, 9), 4: (0, 5), 5: (-5, -5)}
-    assert {r.id: r.minmax for r in LE.first_minmax(df).collect()} == {0: "10,20", 1: "10,20", 2: "10,20", 3: "10,20", 4: None, 5: "7,8"}
+    assert {r.id: r.minmax for r in LE.first_minmax(df, **hot).collect()} == {0: "10,20", 1: "10,20", 2: "10,20", 3: "10,20", 4: None, 5: "7,8"}
     state = {r.path: r for r in LE.ledger_state(df).collect()}
     assert (state["a"].undo_tag, state["a"].minmax, state["a"].entries) == ("+009,+005,W", "10,20", 4)
     assert state["b"].undo_tag == "-005,+000,N"
