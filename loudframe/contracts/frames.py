@@ -78,6 +78,16 @@ SELECT path, count(DISTINCT frame_no) AS frames, min(gain) AS min_gain, max(gain
        (255 - max(gain)) * 1.5e0 AS headroom_db
 FROM g GROUP BY path""")
 def gain_stats(spark, sf_dir):
+    return FR.gain_stats(gains(spark, sf_dir), frame=["frame_no"]).withColumn("avg_gain", F.round("avg_gain", 6))
+
+
+@contract(f"""
+WITH {GAINS}
+SELECT path, count(*) FILTER (WHERE gr = 0 AND ch = 0) AS frames, min(gain) AS min_gain, max(gain) AS max_gain,
+       round(sum(gain)::DOUBLE / count(*), 6) AS avg_gain, 255 - max(gain) AS headroom_steps,
+       (255 - max(gain)) * 1.5e0 AS headroom_db
+FROM g GROUP BY path""")
+def gain_stats_by_first_field(spark, sf_dir):
     return FR.gain_stats(gains(spark, sf_dir)).withColumn("avg_gain", F.round("avg_gain", 6))
 
 
@@ -398,6 +408,15 @@ WITH {GAINS}, {REQUESTS},
 p AS (SELECT path, frame_no, gain <> least(255, greatest(0, gain + steps)) AS moved FROM g JOIN r USING (path) WHERE steps <> 0)
 SELECT path, count(DISTINCT frame_no) AS frames, count(*) AS fields, count(*) FILTER (WHERE moved) AS changed FROM p GROUP BY path""")
 def plan_summary(spark, sf_dir):
+    return GP.plan_summary(GP.plan_gain(gains(spark, sf_dir), gain_requests(spark, sf_dir)), frame=["frame_no"])
+
+
+@contract(f"""
+WITH {GAINS}, {REQUESTS},
+p AS (SELECT path, gr, ch, gain <> least(255, greatest(0, gain + steps)) AS moved FROM g JOIN r USING (path) WHERE steps <> 0)
+SELECT path, count(*) FILTER (WHERE gr = 0 AND ch = 0) AS frames, count(*) AS fields, count(*) FILTER (WHERE moved) AS changed
+FROM p GROUP BY path""")
+def plan_summary_by_first_field(spark, sf_dir):
     return GP.plan_summary(GP.plan_gain(gains(spark, sf_dir), gain_requests(spark, sf_dir)))
 
 

@@ -75,12 +75,14 @@ def ledger_append(spark, sf_dir):
 
 
 @contract(f"""
-WITH {GAINS}, {REQUESTS}, st AS (SELECT path, min(gain) AS min_gain, max(gain) AS max_gain FROM g GROUP BY path),
+WITH {GAINS}, {REQUESTS},
 p AS (SELECT path, count(DISTINCT frame_no) AS frames FROM g JOIN r USING (path) WHERE steps <> 0 GROUP BY path)
 SELECT path, frames, CAST(0 AS BIGINT) AS ledger_rows FROM p""")
 def no_ledger(spark, sf_dir):
     """Applying without a record: the plan has its frames, the ledger gets no row."""
-    plan = GP.plan_summary(GP.plan_gain(gains(spark, sf_dir), gain_requests(spark, sf_dir))).select("path", "frames")
+    plan = GP.plan_summary(
+        GP.plan_gain(gains(spark, sf_dir), gain_requests(spark, sf_dir)), frame=["frame_no"]
+    ).select("path", "frames")
     rows = _entries(spark, sf_dir, record=False).groupBy("path").agg(F.count(F.lit(1)).alias("ledger_rows"))
     return plan.join(rows, "path", "left").withColumn("ledger_rows", F.coalesce("ledger_rows", F.lit(0).cast("bigint")))
 

@@ -100,22 +100,26 @@ def frame_stats(frames: DataFrame, path: str = "path") -> DataFrame:
     )
 
 
-def gain_stats(gains: DataFrame, keys: Sequence[str] = ("path",), frame: Sequence[str] = ("frame_no",),
+def gain_stats(gains: DataFrame, keys: Sequence[str] = ("path",), frame: Sequence[str] | None = None,
                gain: str = "gain") -> DataFrame:
-    """A1 on a gain table: distinct frames, min, max, average and headroom per key.
+    """A1 on a gain table: frames, min, max, average and headroom per key.
 
-    Rows are first reduced per frame, so that distinct counting spreads over the cluster
-    even when one file holds a large part of all rows.
+    A frame has exactly one field of granule 0 and channel 0, so counting those needs a single
+    aggregation that shrinks before it shuffles. For tables without that property ``frame``
+    names the columns whose distinct values are frames; rows are then reduced per frame
+    first, so that one file with a large part of all rows still spreads over the cluster.
     """
+    if frame is None:
+        first = (F.col("gr") == 0) & (F.col("ch") == 0)
+        return _summary(
+            gains, keys, F.count_if(first).alias("frames"), F.min(gain).alias("min_gain"), F.max(gain).alias("max_gain"),
+            F.avg(gain).alias("avg_gain"),
+        )
     per_frame = gains.groupBy(*keys, *frame).agg(
         F.min(gain).alias("lo"), F.max(gain).alias("hi"), F.sum(gain).alias("sum"), F.count(gain).alias("cnt")
     )
     return _summary(
-        per_frame,
-        keys,
-        F.count(F.lit(1)).alias("frames"),
-        F.min("lo").alias("min_gain"),
-        F.max("hi").alias("max_gain"),
+        per_frame, keys, F.count(F.lit(1)).alias("frames"), F.min("lo").alias("min_gain"), F.max("hi").alias("max_gain"),
         (F.sum("sum") / F.sum("cnt")).alias("avg_gain"),
     )
 

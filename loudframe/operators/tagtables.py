@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loudframe import constants as C
 from loudframe.functions.report import dash
+from loudframe.session import durable
 
 
 def lookup_tag(tags: DataFrame, key: str) -> DataFrame:
@@ -64,8 +65,11 @@ def level_tag_rows(levels: DataFrame, namespace: str = C.MP4_NAMESPACE) -> DataF
 
 def upsert_level_tags(tags: DataFrame, levels: DataFrame, namespace: str = C.MP4_NAMESPACE,
                       keep_missing: bool = False) -> DataFrame:
-    """Write formatted level tags (``items`` list per path) into the tag table."""
-    return merge_tag_rows(tags, level_tag_rows(levels, namespace), keep_missing=keep_missing)
+    """Write formatted level tags (``items`` list per path) into the tag table.
+
+    The levels, one small row per file, are stored first: the merge reads them twice.
+    """
+    return merge_tag_rows(tags, level_tag_rows(durable(levels), namespace), keep_missing=keep_missing)
 
 
 def delete_tags(tags: DataFrame, files: DataFrame) -> DataFrame:

@@ -48,11 +48,18 @@ def channel_requests(requests: DataFrame, modes: DataFrame, path: str = "path")
     return known.where(~mono).drop("channel_mode"), errors
 
 
-def plan_summary(plan: DataFrame, path: str = "path", frame: Sequence[str] = ("frame_no",)) -> DataFrame:
-    """Modified frames and changed fields per file."""
-    per_frame = plan.groupBy(path, *frame).agg(
-        F.count(F.lit(1)).alias("fields"), F.count_if(F.col("old") != F.col("new")).alias("changed")
-    )
+def plan_summary(plan: DataFrame, path: str = "path", frame: Sequence[str] | None = None,
+                 channel: int | None = None) -> DataFrame:
+    """Modified frames, touched fields and really changed fields per file.
+
+    Frames are counted by their first field (of the planned channel); ``frame`` counts
+    distinct values of these columns instead.
+    """
+    changed = F.count_if(F.col("old") != F.col("new")).alias("changed")
+    if frame is None:
+        first = (F.col("gr") == 0) & (F.col("ch") == (channel or 0))
+        return plan.groupBy(path).agg(F.count_if(first).alias("frames"), F.count(F.lit(1)).alias("fields"), changed)
+    per_frame = plan.groupBy(path, *frame).agg(F.count(F.lit(1)).alias("fields"), changed)
     return per_frame.groupBy(path).agg(
         F.count(F.lit(1)).alias("frames"), F.sum("fields").alias("fields"), F.sum("changed").alias("changed")
     )
