@@ -13,7 +13,6 @@ make it a parallel job all the same:
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Sequence
 
@@ -64,7 +63,6 @@ def rate_error(sample_rate) -> Column:
     )
 
 
-@functools.cache
 def warmup_samples(rate: int) -> int:
     """Samples after which any start state has faded by more than 1e-20."""
     feedback = C.SHAPING_FILTERS[rate][0]
@@ -139,9 +137,13 @@ class RunFilter:
         return (np.concatenate(parts) if parts else np.empty(0)), state
 
 
-@functools.cache
+_KERNELS: dict[int, RunFilter] = {}
+
+
 def run_filter(rate: int) -> RunFilter:
-    return RunFilter(rate)
+    if rate not in _KERNELS:
+        _KERNELS[rate] = RunFilter(rate)
+    return _KERNELS[rate]
 
 
 def _chunked(packets: DataFrame, keys: Sequence[str], chunk: int) -> DataFrame:
@@ -164,6 +166,16 @@ def _channel(column: pa.ChunkedArray, scale: np.ndarray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False) * scale
 
 
+def _right(table: pa.Table, left: np.ndarray, sizes: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Right channel; a packet without one counts as the same signal on both channels."""
+    if table["right"].null_count == 0:
+        return _channel(table["right"], scale)
+    right = left.copy()
+    given = np.repeat(np.asarray(table["right"].is_valid()), sizes)
+    right[given] = _channel(table["right"], scale[given])
+    return right
+
+
 def _filtered_chunk(table: pa.Table):
     """Sort one chunk, filter its channels; None when it only holds borrowed packets."""
     table = table.take(pa.compute.sort_indices(table, sort_keys=[("first_sample", "ascending")]))
@@ -175,8 +187,8 @@ def _filtered_chunk(table: pa.Table):
     kernel = run_filter(table["sample_rate"][0].as_py())
     left_raw = _channel(table["left"], scale)
     left = kernel.apply(left_raw)[0]
-    stereo = table["right"].null_count == 0
-    right_raw = _channel(table["right"], scale) if stereo else left_raw
+    stereo = table["right"].null_count < table.num_rows
+    right_raw = _right(table, left_raw, sizes, scale) if stereo else left_raw
     right = kernel.apply(right_raw)[0] if stereo else left
     keep = np.repeat(own, sizes)
     peak = np.maximum(np.abs(left_raw), np.abs(right_raw))[keep].max() / C.PCM_SCALE

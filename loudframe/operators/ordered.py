@@ -66,6 +66,9 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sum
     ``block`` must not decrease along ``order`` inside a key; ``keys`` must not be NULL.
     Blocks pay off when they hold many rows. With ``hot_rows`` only keys with more rows than
     that are cut; the list of such keys has a fixed maximal length and is broadcast.
+
+    The input is read for the rows, for the block totals and for the key sizes, the latter two
+    with few columns. Store it first if it is costly to compute.
     """
     keys, order, firsts, lasts = list(keys), list(order), firsts or {}, lasts or {}
     if hot_rows is None:

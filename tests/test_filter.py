@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 
@@ -96,6 +100,26 @@ def test_sample_formats_agree(spark):
     assert peaks == pytest.approx({k: np.abs(x).max() / 32768 for k in made})
 
 
+def test_worker_code_needs_no_installed_package(tmp_path):
+    from pyspark import cloudpickle
+
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(lambda: FI.run_filter(8000).apply(np.ones(300))[0].sum()))
+    code = "import pickle; print(pickle.load(open('f.pkl', 'rb'))())"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": os.environ["PATH"]}, capture_output=True, text=True)
+    assert float(done.stdout) == pytest.approx(FI.run_filter(8000).apply(np.ones(300))[0].sum()), done.stderr
+
+
+def test_packets_without_a_right_channel_inside_a_stereo_track(spark):
+    left, right = np.random.default_rng(5).normal(size=(2, 6000)) * 0.1
+    whole = packets(spark, {"t": (44100, "F32", left, right)}, size=1000)
+    mixed = whole.withColumn("right", F.when(F.col("packet_no") != 2, F.col("right")))
+    filled = right.copy()
+    filled[2000:3000] = left[2000:3000]
+    want = packets(spark, {"t": (44100, "F32", left, filled)}, size=1000)
+    sums = lambda p: sorted((r.window_no, r.sum_squares) for r in FI.filter_window_sums(O.packet_offsets(p)).collect())
+    assert sums(mixed) == sums(want)
+
+
 def test_unsupported_rates_become_error_rows(spark):
     made = {"ok": (8000, "F32", [0.1] * 10, None), "bad": (88200, "F32", [0.1] * 10, None), "odd": (99999, "F32", [0.1], None)}
     rows = packets(spark, made)
