@@ -12,6 +12,7 @@ from loudframe.functions import gains as G
 from loudframe.functions import headers as HD
 from loudframe.functions import paths as P
 from loudframe.operators import frames as FR
+from loudframe.operators.ordered import sample_index
 from loudframe.plans import gain_plan as GP
 from loudframe.sources import catalog as CA
 from loudframe.sources import files as FS
@@ -132,7 +133,7 @@ def catalog_filter(spark, sf_dir):
 
 
 @contract("""
-SELECT page_id, CASE WHEN url LIKE '%/' THEN 'unknown' ELSE regexp_extract(url, '([^/]*)$', 1) END AS name FROM pages""")
+SELECT page_id, regexp_extract(rtrim(url, '/'), '([^/]+)$', 1) AS name FROM pages""")
 def filename_of(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", P.file_name(F.col("url")).alias("name"))
 
@@ -140,8 +141,6 @@ def filename_of(spark, sf_dir):
 @contract(f"WITH {PATHS} SELECT row_number() OVER (ORDER BY path) AS pos, path FROM f")
 def sort_catalog(spark, sf_dir):
     """The position makes the order visible to a comparison that ignores row order."""
-    from loudframe.operators.ordered import sample_index
-
     ordered = CA.sort_catalog(paths(spark, sf_dir).select("path")).withColumn("all", F.lit(0))
     return sample_index(ordered, ["all"], ["path"], name="pos").select((F.col("pos") + 1).alias("pos"), "path")
 

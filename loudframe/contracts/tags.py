@@ -10,6 +10,7 @@ from loudframe.contracts.roles import KEYS, TAGS, TRACKS, contract, spread, tabl
 from loudframe.functions import tags as T
 from loudframe.operators import loudness as LO
 from loudframe.operators import tagtables as TT
+from loudframe.plans import reports as RP
 from loudframe.sources import files as FS
 
 
@@ -199,10 +200,8 @@ WITH {TAGS}, {_COLS}
 SELECT CAST(doc_id AS VARCHAR) AS file, CASE WHEN c.path IS NULL THEN 'no_tag' ELSE 'success' END AS status, {_DASHED}
 FROM documents LEFT JOIN c ON c.path = doc_id""")
 def tag_report(spark, sf_dir):
-    from loudframe.plans.reports import tag_report as report
-
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"))
-    out = report(TT.join_tags(files, TT.tag_columns(tags(spark, sf_dir))))
+    out = RP.tag_report(TT.join_tags(files, TT.tag_columns(tags(spark, sf_dir))))
     return out.withColumn("file", F.col("file").cast("string"))
 
 

@@ -9,8 +9,9 @@ from loudframe import constants as C
 
 
 def file_name(path: Column) -> Column:
-    """Last part of a path, 'unknown' when there is none."""
-    return F.coalesce(F.nullif(F.element_at(F.split(path, "/"), -1), F.lit("")), F.lit("unknown"))
+    """Last named part of a path, 'unknown' when there is none; trailing slashes do not count."""
+    name = F.regexp_extract(path, r"([^/]+)(?:/|/\.)*$", 1)
+    return F.when(name.isin("", ".", ".."), "unknown").otherwise(F.coalesce(name, F.lit("unknown")))
 
 
 def extension(path: Column) -> Column:

@@ -33,7 +33,8 @@ def test_catalog_of_a_directory(spark, tmp_path):
 
 
 def test_path_functions(spark):
-    cases = {"/x/a.mp3": ("a.mp3", True), "/x/._a.mp3": ("._a.mp3", False), "/x/": ("unknown", False), "/x/.mp3": (".mp3", False),
+    cases = {"/x/a.mp3": ("a.mp3", True), "/x/._a.mp3": ("._a.mp3", False), "/x/": ("x", False), "/": ("unknown", False),
+             "a/..": ("unknown", False), "a/.": ("a", False), "a.b/c..mp3": ("c..mp3", True), "": ("unknown", False), "/x/.mp3": (".mp3", False),
              "/x/a.mp4": ("a.mp4", False), "/x.mp3/a": ("a", False)}
     df = spark.createDataFrame([(p,) for p in cases], "p string")
     got = df.select("p", P.file_name(F.col("p")).alias("n"), P.is_desktop_audio(F.col("p")).alias("k")).collect()
