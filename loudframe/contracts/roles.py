@@ -230,8 +230,8 @@ l AS (SELECT o_custkey AS path, o_orderdate AS ts, o_orderkey AS id,
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four tag rows per document; every fifth document has none. Keys differ in case."""
-    docs = table(spark, sf_dir, "documents").where("doc_id % 5 <> 0")
+    """Four tag rows per document; French documents have none. Keys differ in case."""
+    docs = table(spark, sf_dir, "documents").where("lang <> 'fr'")
     docs = docs.withColumn("gain", format_gain_tag(F.col("n_chars") % 3000 / 128))
     return docs.selectExpr(
         "doc_id AS path",
@@ -249,7 +249,7 @@ t4 AS (SELECT doc_id AS path, 'APEv2' AS namespace, u.pos AS pos, u.key AS key,
          (1, 'MP3GAIN_UNDO', printf('%+04d,%+04d,N', doc_id % 9 - 4, doc_id % 7 - 3)),
          (2, 'Language', lang),
          (3, 'LANGUAGE', source)) AS u(pos, key, value)
-       WHERE doc_id % 5 <> 0)"""
+       WHERE lang <> 'fr')"""
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:

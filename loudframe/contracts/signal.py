@@ -403,6 +403,22 @@ def filtered_track_loudness(spark, sf_dir):
 # --- packets ------------------------------------------------------------------------------
 
 
+@contract("""
+WITH x AS (SELECT label AS track, v::DOUBLE * 32768e0 AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id, pos) - 1 AS n
+           FROM (SELECT label, vec_id, unnest(embedding) AS v, unnest(range(64)) AS pos FROM embeddings))
+SELECT track, n // 2205 AS window_no, count(*) AS samples, round(sum(2e0 * v * v) / 1e6, 3) AS energy,
+       round(max(abs(v)), 6) AS peak
+FROM x GROUP BY ALL""")
+def packet_window_sums(spark, sf_dir):
+    """Unfiltered windows straight from packets, 50 ms at the packets' own rate."""
+    rows = W.explode_packets(O.packet_offsets(packets(spark, sf_dir)))
+    per_window = L.window_samples(F.col("sample_rate"))
+    sums = W.window_sums(rows, ["track"], F.col("n"), per_window, F.col("left"), F.col("right"))
+    return sums.select(
+        "track", "window_no", "samples", F.round(F.col("sum_squares") / 1e6, 3).alias("energy"), F.round("peak", 6).alias("peak")
+    )
+
+
 def _streams(spark, sf_dir):
     left = F.when(F.col("packet_no") % 11 != 0, F.col("left"))
     stream = F.when(F.col("packet_no") % 3 == 0, 1).otherwise(0)

@@ -219,7 +219,7 @@ def _tagged_documents(spark, sf_dir):
     def item(key: str, value: Column) -> Column:
         return _join(_le32(F.octet_length(value)), _zeros(4), _text(key), _zeros(1), _utf8(value))
 
-    items = _join(item("Language", F.col("lang")), item("SOURCE", F.col("source")), item("Start", F.substring("text", 1, 20)))
+    items = _join(item("Language", F.col("lang")), item("SOURCE", F.col("source")), item("Text", F.col("text")))
     version = F.when(d % 7 == 0, 1000).otherwise(2000)
     size = F.length("items") + 32
     footer = _join(_text("APETAGEX"), _le32(version), _le32(size), _le32(F.lit(3)), _zeros(12))
@@ -230,7 +230,7 @@ def _tagged_documents(spark, sf_dir):
 
 @contract("""
 SELECT CAST(doc_id AS VARCHAR) AS path, 'APEv2' AS namespace, u.pos, u.key, u.value
-FROM documents, LATERAL (VALUES (0, 'Language', lang), (1, 'SOURCE', source), (2, 'Start', substr(text, 1, 20))) AS u(pos, key, value)
+FROM documents, LATERAL (VALUES (0, 'Language', lang), (1, 'SOURCE', source), (2, 'Text', text)) AS u(pos, key, value)
 WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0""")
 def ape_tags_job(spark, sf_dir):
     return FS.ape_tag_rows(_tagged_documents(spark, sf_dir))
