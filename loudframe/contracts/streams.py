@@ -8,7 +8,6 @@ from loudframe import constants as C
 from loudframe.contracts.roles import LEDGER, PATHS, contract, ledger, packets, paths, table
 from loudframe.contracts.signal import FILTERED
 from loudframe.operators import filtering as FI
-from loudframe.operators import ordered as O
 from loudframe.session import fresh_path
 from loudframe.sources import catalog as CA
 from loudframe.streaming import filter as SF
@@ -78,7 +77,7 @@ def stream_filter(spark, sf_dir):
         .option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     )
     live = spark.read.parquet(f"{target}/table").select("track", "window_no", "sum_squares", "samples")
-    batch = FI.filter_window_sums(O.packet_offsets(packets(spark, sf_dir))).select(
+    batch = FI.filter_window_sums(packets(spark, sf_dir)).select(
         "track", "window_no", F.col("sum_squares").alias("batch_sum")
     )
     close = F.abs(F.col("sum_squares") / F.col("batch_sum") - 1) < 1e-6

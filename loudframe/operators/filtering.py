@@ -19,17 +19,21 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loudframe import constants as C
 from loudframe import schemas
 from loudframe.functions import levels as L
+from loudframe.operators.ordered import packet_offsets
 from loudframe.operators.windows import merge_window_sums
+from loudframe.session import durable
 
 RUN = 128
 STATE = 12
 DEFAULT_CHUNK = 1 << 20
+PACKET_SAMPLES = 1152  # usual samples per packet, sets packets per block
+LEND_PACKETS = 16
 _DOUBLES = pa.list_(pa.float64())
 
 
@@ -153,12 +157,69 @@ def _chunked(packets: DataFrame, keys: Sequence[str], chunk: int) -> DataFrame:
     own = L.int_div(F.col("first_sample"), chunk)
     end = F.col("first_sample") + F.size("left")
     lends = end > (own + 1) * chunk - F.lit(max_warmup())
-    scale = L.sample_scale(F.col("format"))
-    return (
-        packets.where(F.size("left") > 0)
-        .select(*keys, "packet_no", "sample_rate", scale.alias("scale"), "left", "right", "first_sample",
-                own.alias("__own"), F.explode(F.when(lends, F.array(own, own + 1)).otherwise(F.array(own))).alias("__chunk"))
+    return _lend(packets.where(F.size("left") > 0), [*keys, "packet_no", "first_sample"], own, lends)
+
+
+def _lend(packets: DataFrame, columns: Sequence[str], own: Column, lends: Column) -> DataFrame:
+    """Each packet once for its own chunk and, where it lends, once more for the next one."""
+    targets = F.when(lends, F.array(own, own + 1)).otherwise(F.array(own))
+    return packets.select(
+        *columns, "sample_rate", L.sample_scale(F.col("format")).alias("scale"), "left", "right",
+        own.alias("__own"), F.explode(targets).alias("__chunk"),
+    )
+
+
+def _block_table(packets: DataFrame, keys: Sequence[str], per_block: int, lend: int) -> DataFrame:
+    """Per block of packet numbers: its first sample, and whether the block before lends enough.
+
+    Reads packet numbers and lengths only; one small row per block.
+    """
+    block = L.int_div(F.col("packet_no"), per_block)
+    size = F.size("left").cast("bigint")
+    rates = F.coalesce(*[F.when(F.col("sample_rate") == r, F.lit(warmup_samples(r))) for r in supported_rates()])
+    sums = packets.groupBy(*keys, block.alias("__chunk")).agg(
+        F.sum(size).alias("samples"),
+        F.sum(F.when(F.col("packet_no") >= (block + 1) * per_block - lend, size).otherwise(0)).alias("tail"),
+        F.max(rates).alias("warmup"),
     )
+    order = Window.partitionBy(*keys).orderBy("__chunk")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("samples").over(before), F.lit(0).cast("bigint"))
+    lent = F.when(F.lag("__chunk").over(order) == F.col("__chunk") - 1, F.lag("tail").over(order)).otherwise(0)
+    return durable(sums.select(*keys, "__chunk", start.alias("block_start"), lent.alias("lent"), "warmup").select(
+        *keys, "__chunk", "block_start", (F.col("lent") >= F.least("warmup", "block_start")).alias("enough")
+    ))
+
+
+def _blocked(packets: DataFrame, keys: Sequence[str], per_block: int) -> DataFrame | None:
+    """Assign packets to blocks of packet numbers, so that the samples move only once.
+
+    Block and lending follow from the packet number alone; the position of a block comes from
+    the small block table. How many packets have to be lent is found by checking that table,
+    and None says that no number fits, as with blocks that are nearly empty.
+    """
+    usable = packets.where(F.size("left") > 0)
+    lend = LEND_PACKETS
+    while True:
+        blocks = _block_table(usable, keys, per_block, lend)
+        if not blocks.where(~F.col("enough")).limit(1).count():
+            break
+        if lend >= per_block:
+            return None
+        lend = min(lend * 8, per_block)
+    own = L.int_div(F.col("packet_no"), per_block)
+    lends = F.col("packet_no") >= (own + 1) * per_block - lend
+    rows = _lend(usable, [*keys, "packet_no"], own, lends)
+    return rows.join(blocks.drop("enough"), [*keys, "__chunk"], "left")
+
+
+def _placed(packets: DataFrame, keys: Sequence[str], chunk: int) -> DataFrame:
+    """Packets in chunks: by stored sample positions, by packet number, or by computed positions."""
+    usable = packets.where(rate_error(F.col("sample_rate")).isNull())
+    if "first_sample" in packets.columns:
+        return _chunked(usable, keys, chunk)
+    blocked = _blocked(usable, keys, max(chunk // PACKET_SAMPLES, 1))
+    return _chunked(packet_offsets(usable, keys), keys, chunk) if blocked is None else blocked
 
 
 def _channel(column: pa.ChunkedArray, scale: np.ndarray) -> np.ndarray:
@@ -178,11 +239,15 @@ def _right(table: pa.Table, left: np.ndarray, sizes: np.ndarray, scale: np.ndarr
 
 def _filtered_chunk(table: pa.Table):
     """Sort one chunk, filter its channels; None when it only holds borrowed packets."""
-    table = table.take(pa.compute.sort_indices(table, sort_keys=[("first_sample", "ascending")]))
+    table = table.take(pa.compute.sort_indices(table, sort_keys=[("packet_no", "ascending")]))
     own = np.asarray(table["__own"]) == np.asarray(table["__chunk"])
     if not own.any():
         return None
     sizes = pa.compute.list_value_length(table["left"]).to_numpy(zero_copy_only=False).astype(np.int64)
+    if "first_sample" not in table.column_names:
+        ends = np.cumsum(sizes)
+        starts = table["block_start"][int(np.argmax(own))].as_py() - sizes[~own].sum() + ends - sizes
+        table = table.append_column("first_sample", pa.array(starts, pa.int64()))
     scale = np.repeat(np.asarray(table["scale"], dtype=float), sizes)
     kernel = run_filter(table["sample_rate"][0].as_py())
     left_raw = _channel(table["left"], scale)
@@ -199,11 +264,11 @@ def filter_window_sums(packets: DataFrame, keys: Sequence[str] = ("album", "trac
                        chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """Filter packets and return window sums (sum_squares, samples, peak) per track and window.
 
-    ``packets`` carries ``first_sample`` (see ``packet_offsets``). Rows with an unsupported
-    sample rate are left out here; ``rate_error`` names them for error reports.
+    With a stored ``first_sample`` (see ``packet_offsets``) or without: then chunks follow the
+    packet numbers and the samples are shuffled once. Rows with an unsupported sample rate are
+    left out here; ``rate_error`` names them for error reports.
     """
     keys = list(keys)
-    usable = packets.where(rate_error(F.col("sample_rate")).isNull())
     types = {f.name: f.dataType.simpleString() for f in packets.schema.fields}
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", window_no bigint, sum_squares double, samples bigint, peak double"
 
@@ -230,15 +295,14 @@ def filter_window_sums(packets: DataFrame, keys: Sequence[str] = ("album", "trac
             "peak": pa.array(np.full(len(used), peak), pa.float64()),
         })
 
-    parts = _chunked(usable, keys, chunk).groupBy(*keys, "__chunk").applyInArrow(sums, schema)
+    parts = _placed(packets, keys, chunk).groupBy(*keys, "__chunk").applyInArrow(sums, schema)
     return merge_window_sums(parts, keys)
 
 
 def equal_loudness_filter(packets: DataFrame, keys: Sequence[str] = ("album", "track"),
                           chunk: int = DEFAULT_CHUNK) -> DataFrame:
-    """Packets with filtered channels, in the 16-bit range; ``packets`` carries ``first_sample``."""
+    """Packets with filtered channels in the 16-bit range, and their ``first_sample``."""
     keys = list(keys)
-    usable = packets.where(rate_error(F.col("sample_rate")).isNull())
     types = {f.name: f.dataType.simpleString() for f in packets.schema.fields}
     schema = ", ".join(f"{k} {types[k]}" for k in keys)
     schema += ", packet_no bigint, sample_rate int, first_sample bigint, left array<double>, right array<double>"
@@ -247,7 +311,7 @@ def equal_loudness_filter(packets: DataFrame, keys: Sequence[str] = ("album", "t
         done = _filtered_chunk(table)
         names = [*keys, "packet_no", "sample_rate", "first_sample"]
         if done is None:
-            empty = table.select(names).slice(0, 0)
+            empty = table.select(names[:-1]).slice(0, 0).append_column("first_sample", pa.array([], pa.int64()))
             return empty.append_column("left", pa.array([], _DOUBLES)).append_column("right", pa.array([], _DOUBLES))
         table, own, sizes, keep, left, right, stereo, _ = done
         kept = table.filter(pa.array(own)).select(names)
@@ -256,4 +320,4 @@ def equal_loudness_filter(packets: DataFrame, keys: Sequence[str] = ("album", "t
         kept = kept.append_column("left", lists(left))
         return kept.append_column("right", lists(right) if stereo else pa.nulls(kept.num_rows, _DOUBLES))
 
-    return _chunked(usable, keys, chunk).groupBy(*keys, "__chunk").applyInArrow(filtered, schema)
+    return _placed(packets, keys, chunk).groupBy(*keys, "__chunk").applyInArrow(filtered, schema)

@@ -91,6 +91,35 @@ def test_chunks_and_channels(spark):
         assert small["mono", n].sum_squares == pytest.approx(small["same", n].sum_squares, rel=1e-12)
 
 
+@pytest.mark.parametrize("gap", [None, (3, 4), (10, 19), (2, 25), (22, 38), (18, 45)])
+def test_chunks_by_packet_number_equal_chunks_by_position(spark, gap, monkeypatch):
+    """Small blocks of 20 packets with gaps; the last two leave too little to lend."""
+    monkeypatch.setattr(FI, "PACKET_SAMPLES", 500)
+    rng = np.random.default_rng(11)
+    made = {t: (44100, "F32", rng.normal(size=40000) * 0.1, None) for t in ("a", "b")}
+    rows = packets(spark, made, size=500)
+    if gap is not None:
+        rows = rows.where(f"track = 'b' OR packet_no NOT BETWEEN {gap[0]} AND {gap[1]}")
+    blocked = FI._blocked(rows, ["album", "track"], 20)
+    assert (blocked is None) == (gap in ((22, 38), (18, 45)))
+    want = {(r.track, r.window_no): r for r in FI.filter_window_sums(O.packet_offsets(rows)).collect()}
+    got = {(r.track, r.window_no): r for r in FI.filter_window_sums(rows, chunk=10000).collect()}
+    assert set(got) == set(want)
+    for k, r in want.items():
+        assert got[k].samples == r.samples and got[k].sum_squares == pytest.approx(r.sum_squares, rel=1e-9)
+    one = FI.equal_loudness_filter(rows, chunk=10000).select("track", "packet_no", "first_sample", F.size("left").alias("n"))
+    two = O.packet_offsets(rows).select("track", "packet_no", "first_sample", F.size("left").alias("n"))
+    assert one.exceptAll(two).count() == 0 and one.count() == rows.count()
+
+
+def test_samples_are_shuffled_once(spark):
+    made = {"a": (44100, "F32", np.zeros(5000), None)}
+    FI.filter_window_sums(packets(spark, made))  # the small block table is computed here
+    plan = FI.filter_window_sums(packets(spark, made))._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(album" in line]
+    assert sum("__chunk" in line for line in moved) <= 2 and "packet_no" not in "".join(moved)
+
+
 def test_sample_formats_agree(spark):
     x = np.round(np.random.default_rng(2).normal(size=4410) * 3000)
     made = {"S16": (44100, "S16", x, None), "F32": (44100, "F32", x / 32768, None), "S32": (44100, "S32", x * 65536, None)}
