@@ -169,25 +169,30 @@ def _lend(packets: DataFrame, columns: Sequence[str], own: Column, lends: Column
     )
 
 
-def _block_table(packets: DataFrame, keys: Sequence[str], per_block: int, lend: int) -> DataFrame:
-    """Per block of packet numbers: its first sample, and whether the block before lends enough.
+def packet_size(packets: DataFrame) -> Column:
+    """Samples in a packet: a stored ``samples`` column spares reading the sample arrays."""
+    return F.col("samples").cast("bigint") if "samples" in packets.columns else F.size("left").cast("bigint")
 
-    Reads packet numbers and lengths only; one small row per block.
+
+def _block_table(packets: DataFrame, keys: Sequence[str], per_block: int, lends: Sequence[int]) -> DataFrame:
+    """Per block of packet numbers: its first sample, and for each of some numbers of lent
+    packets whether the block before lends enough with it. One small row per block.
     """
-    block = L.int_div(F.col("packet_no"), per_block)
-    size = F.size("left").cast("bigint")
+    block, size = L.int_div(F.col("packet_no"), per_block), packet_size(packets)
     rates = F.coalesce(*[F.when(F.col("sample_rate") == r, F.lit(warmup_samples(r))) for r in supported_rates()])
+    tail = lambda n: F.sum(F.when(F.col("packet_no") >= (block + 1) * per_block - n, size).otherwise(0))
     sums = packets.groupBy(*keys, block.alias("__chunk")).agg(
-        F.sum(size).alias("samples"),
-        F.sum(F.when(F.col("packet_no") >= (block + 1) * per_block - lend, size).otherwise(0)).alias("tail"),
-        F.max(rates).alias("warmup"),
+        F.sum(size).alias("samples"), F.max(rates).alias("warmup"), *[tail(n).alias(f"tail{n}") for n in lends]
     )
     order = Window.partitionBy(*keys).orderBy("__chunk")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("samples").over(before), F.lit(0).cast("bigint"))
-    lent = F.when(F.lag("__chunk").over(order) == F.col("__chunk") - 1, F.lag("tail").over(order)).otherwise(0)
-    return durable(sums.select(*keys, "__chunk", start.alias("block_start"), lent.alias("lent"), "warmup").select(
-        *keys, "__chunk", "block_start", (F.col("lent") >= F.least("warmup", "block_start")).alias("enough")
+    follows = F.lag("__chunk").over(order) == F.col("__chunk") - 1
+    placed = sums.select(
+        *keys, "__chunk", "warmup", F.coalesce(F.sum("samples").over(before), F.lit(0).cast("bigint")).alias("block_start"),
+        *[F.when(follows, F.lag(f"tail{n}").over(order)).otherwise(0).alias(f"lent{n}") for n in lends],
+    )
+    return durable(placed.select(
+        *keys, "__chunk", "block_start", *[(F.col(f"lent{n}") >= F.least("warmup", "block_start")).alias(f"enough{n}") for n in lends]
     ))
 
 
@@ -195,22 +200,19 @@ def _blocked(packets: DataFrame, keys: Sequence[str], per_block: int) -> DataFra
     """Assign packets to blocks of packet numbers, so that the samples move only once.
 
     Block and lending follow from the packet number alone; the position of a block comes from
-    the small block table. How many packets have to be lent is found by checking that table,
-    and None says that no number fits, as with blocks that are nearly empty.
+    the small block table, which also tells how many packets have to be lent. None says that
+    an eighth of a block is not enough somewhere, as with packet numbers full of gaps.
     """
     usable = packets.where(F.size("left") > 0)
-    lend = LEND_PACKETS
-    while True:
-        blocks = _block_table(usable, keys, per_block, lend)
-        if not blocks.where(~F.col("enough")).limit(1).count():
-            break
-        if lend >= per_block:
-            return None
-        lend = min(lend * 8, per_block)
+    lends = sorted({min(LEND_PACKETS, per_block), max(per_block // 8, 1)})
+    blocks = _block_table(usable, keys, per_block, lends)
+    enough = blocks.agg(*[F.bool_and(f"enough{n}").alias(f"n{n}") for n in lends]).first()
+    lend = next((n for n in lends if enough[f"n{n}"] is not False), None)
+    if lend is None:
+        return None
     own = L.int_div(F.col("packet_no"), per_block)
-    lends = F.col("packet_no") >= (own + 1) * per_block - lend
-    rows = _lend(usable, [*keys, "packet_no"], own, lends)
-    return rows.join(blocks.drop("enough"), [*keys, "__chunk"], "left")
+    rows = _lend(usable, [*keys, "packet_no"], own, F.col("packet_no") >= (own + 1) * per_block - lend)
+    return rows.join(blocks.select(*keys, "__chunk", "block_start"), [*keys, "__chunk"], "left")
 
 
 def _placed(packets: DataFrame, keys: Sequence[str], chunk: int) -> DataFrame:

@@ -91,23 +91,23 @@ def test_chunks_and_channels(spark):
         assert small["mono", n].sum_squares == pytest.approx(small["same", n].sum_squares, rel=1e-12)
 
 
-@pytest.mark.parametrize("gap", [None, (3, 4), (10, 19), (2, 25), (22, 38), (18, 45)])
-def test_chunks_by_packet_number_equal_chunks_by_position(spark, gap, monkeypatch):
-    """Small blocks of 20 packets with gaps; the last two leave too little to lend."""
-    monkeypatch.setattr(FI, "PACKET_SAMPLES", 500)
+@pytest.mark.parametrize("gap,fits", [(None, True), ((3, 20), True), ((64, 70), False), ((45, 85), False)])
+def test_chunks_by_packet_number_equal_chunks_by_position(spark, gap, fits, monkeypatch):
+    """Blocks of 40 packets that lend 16, with gaps; the last two leave too little to lend."""
+    monkeypatch.setattr(FI, "PACKET_SAMPLES", 200)
     rng = np.random.default_rng(11)
-    made = {t: (44100, "F32", rng.normal(size=40000) * 0.1, None) for t in ("a", "b")}
-    rows = packets(spark, made, size=500)
+    made = {t: (44100, "F32", rng.normal(size=20000) * 0.1, None) for t in ("a", "b")}
+    rows = packets(spark, made, size=200).withColumn("samples", F.size("left"))
     if gap is not None:
         rows = rows.where(f"track = 'b' OR packet_no NOT BETWEEN {gap[0]} AND {gap[1]}")
-    blocked = FI._blocked(rows, ["album", "track"], 20)
-    assert (blocked is None) == (gap in ((22, 38), (18, 45)))
+    blocked = FI._blocked(rows, ["album", "track"], 40)
+    assert (blocked is not None) == fits
     want = {(r.track, r.window_no): r for r in FI.filter_window_sums(O.packet_offsets(rows)).collect()}
-    got = {(r.track, r.window_no): r for r in FI.filter_window_sums(rows, chunk=10000).collect()}
+    got = {(r.track, r.window_no): r for r in FI.filter_window_sums(rows, chunk=8000).collect()}
     assert set(got) == set(want)
     for k, r in want.items():
         assert got[k].samples == r.samples and got[k].sum_squares == pytest.approx(r.sum_squares, rel=1e-9)
-    one = FI.equal_loudness_filter(rows, chunk=10000).select("track", "packet_no", "first_sample", F.size("left").alias("n"))
+    one = FI.equal_loudness_filter(rows, chunk=8000).select("track", "packet_no", "first_sample", F.size("left").alias("n"))
     two = O.packet_offsets(rows).select("track", "packet_no", "first_sample", F.size("left").alias("n"))
     assert one.exceptAll(two).count() == 0 and one.count() == rows.count()
 
