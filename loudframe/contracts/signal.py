@@ -374,7 +374,7 @@ z AS (SELECT track, i - 1 AS n, zs[1] AS z FROM r WHERE i > 0)"""
 @contract(f"WITH {FILTERED} SELECT track, n // 64 AS chunk, round(sum(z * z), 0) AS energy, round(max(abs(z)), 3) AS top FROM z GROUP BY ALL")
 def equal_loudness_filter(spark, sf_dir):
     """Filtered samples of every packet, as energy and peak per 64 samples."""
-    out = FI.equal_loudness_filter(packets(spark, sf_dir))
+    out = FI.equal_loudness_filter(O.packet_offsets(packets(spark, sf_dir)))
     return out.select(
         "track",
         L.int_div(F.col("first_sample"), 64).alias("chunk"),
@@ -394,7 +394,9 @@ FROM t JOIN (SELECT label AS track, max(list_max(list_transform(embedding, lambd
              FROM embeddings GROUP BY ALL) AS p USING (track)""")
 def filtered_track_loudness(spark, sf_dir):
     """The whole chain from packets: offsets, filter, windows, histogram, percentile, peak."""
-    tracks = LO.track_loudness(FI.filter_window_sums(packets(spark, sf_dir)), KEYS)
+    # Packet numbers of one track are far apart in this table, so positions come first.
+    placed = O.packet_offsets(packets(spark, sf_dir))
+    tracks = LO.track_loudness(FI.filter_window_sums(placed), KEYS)
     return tracks.select("track", "windows", "loudness_db", "gain_steps", F.round("peak", 9).alias("peak"))
 
 
