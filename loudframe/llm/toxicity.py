@@ -27,11 +27,12 @@ from loudframe.llm.common import stored
 MAX_LABELLED = 10_000
 MAX_LEXICON = 20_000
 #: Windows, of 2 * REACH + 1 words, that the weights are fitted on.
-MAX_WINDOWS = 40_000
+MAX_WINDOWS = 20_000
 REACH = 4
 PREFIXES = (4, 5)
 MIN_TOXIC = 3
-MIN_LIFT = 8.0
+#: How much likelier a feature must be in toxic documents to enter the lexicon, and to mark a word as toxic.
+MIN_LIFT, MARK_LIFT = 4.0, 8.0
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -107,7 +108,7 @@ def _windows_of(lexicon: dict[str, int], strong: np.ndarray):
     return cut
 
 
-def _fit_field(x: np.ndarray, y: np.ndarray, n_features: int, steps: int = 150, rate: float = 0.3, ridge: float = 1e-3) -> dict:
+def _fit_field(x: np.ndarray, y: np.ndarray, n_features: int, steps: int = 100, rate: float = 0.3, ridge: float = 1e-3) -> dict:
     """Weights of the field by gradient ascent on the windows' conditional log-likelihood. x: windows, words, features."""
     theta, bias, trans = np.zeros(n_features + 1), -3.0, np.zeros((2, 2))
     inside = x[:, :, 0] >= 0
@@ -199,13 +200,13 @@ def _marginals(field: dict, table: np.ndarray, codes: np.ndarray, borders: np.nd
     return doc, at, m[:, 1] / m.sum(axis=1)
 
 
-def _summary(doc: np.ndarray, m: np.ndarray, n: int) -> np.ndarray:
-    """Columns for the document score: logit of the largest marginal, log of the expected number of toxic words."""
-    top, total = np.zeros(n), np.zeros(n)
+def _summary(doc: np.ndarray, m: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Columns for the document score: logit of the largest marginal, logs of the expected number and density of toxic words."""
+    top, total = np.zeros(len(sizes)), np.zeros(len(sizes))
     np.maximum.at(top, doc, m)
     np.add.at(total, doc, m)
     top = np.clip(top, 1e-6, 1 - 1e-6)
-    return np.stack([np.ones(n), np.log(top / (1 - top)), np.log1p(total)], axis=1)
+    return np.stack([np.ones(len(sizes)), np.log(top / (1 - top)), np.log1p(total), np.log((total + 0.1) / (sizes + 20))], axis=1)
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -222,8 +223,8 @@ def _summaries(model: dict):
         for batch in batches:
             borders, codes, words = _tokens(batch.column("text"))
             doc, _, m = _marginals(model, _feature_table(words, model["lexicon"]), codes, borders)
-            x = _summary(doc, m, batch.num_rows)
-            yield pa.RecordBatch.from_pydict({"top": pa.array(x[:, 1]), "total": pa.array(x[:, 2]), "label": batch.column("label")})
+            x = _summary(doc, m, np.diff(borders))
+            yield pa.RecordBatch.from_pydict({"top": pa.array(x[:, 1]), "total": pa.array(x[:, 2]), "density": pa.array(x[:, 3]), "label": batch.column("label")})
     return per_batch
 
 
@@ -241,16 +242,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     .join(F.broadcast(chosen), "__id").select("text", "label"), "toxicity-sample")
     n_clean, n_toxic = (sample.where(F.col("label") == k).count() for k in (0, 1))
     model = {"lexicon": {}, "theta": np.zeros(1), "bias": -5.0, "trans": np.zeros((2, 2)),
-             "score": np.array([np.log((n_toxic + 0.5) / (n_clean + 0.5)), 0.0, 0.0])}
+             "score": np.array([np.log((n_toxic + 0.5) / (n_clean + 0.5)), 0.0, 0.0, 0.0])}
     if not n_clean or not n_toxic:
         return model
     lift = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
     rows = (sample.mapInArrow(_count, "feature string, toxic long, clean long").groupBy("feature")
             .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).withColumn("lift", lift)
-            .where((F.col("toxic") >= MIN_TOXIC) & (F.col("lift") >= 2))
+            .where((F.col("toxic") >= MIN_TOXIC) & (F.col("lift") >= MIN_LIFT))
             .orderBy(F.desc("toxic"), "feature").limit(MAX_LEXICON).collect())
     model["lexicon"] = {r["feature"]: i for i, r in enumerate(rows)}
-    strong = np.array([r["lift"] >= MIN_LIFT for r in rows], bool)
+    strong = np.array([r["lift"] >= MARK_LIFT for r in rows], bool)
     cut = sample.mapInArrow(_windows_of(model["lexicon"], strong), "x array<int>, y array<int>").limit(MAX_WINDOWS).toArrow()
     if rows and cut.num_rows:
         size = 2 * REACH + 1
@@ -259,8 +260,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         model |= _fit_field(x, y, len(rows))
     else:
         model["theta"] = np.zeros(len(rows) + 1)
-    got = sample.mapInArrow(_summaries(model), "top double, total double, label int").toPandas()
-    model["score"] = _fit_logistic(np.stack([np.ones(len(got)), got["top"], got["total"]], axis=1), got["label"].to_numpy(float))
+    got = sample.mapInArrow(_summaries(model), "top double, total double, density double, label int").toPandas()
+    model["score"] = _fit_logistic(np.stack([np.ones(len(got)), got["top"], got["total"], got["density"]], axis=1), got["label"].to_numpy(float))
     return model
 
 
@@ -276,13 +277,13 @@ def score(docs: DataFrame, model: dict, columns: tuple[str, ...] = ("doc_id",),
             texts = batch.column(batch.num_columns - 1)
             borders, codes, words = _tokens(texts)
             doc, at, m = _marginals(model, _feature_table(words, lexicon), codes, borders)
-            p = 1 / (1 + np.exp(-np.clip(_summary(doc, m, batch.num_rows) @ model["score"], -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(_summary(doc, m, np.diff(borders)) @ model["score"], -30, 30)))
             spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             marked = m >= 0.5
             for d in np.unique(doc[marked]):
                 where = [x.span() for x in TOKEN.finditer(texts[int(d)].as_py())]
-                mine = marked & (doc == d) if len(doc) < 1000 else None
-                pick = np.flatnonzero(mine) if mine is not None else np.arange(*np.searchsorted(doc, [d, d + 1]))[marked[slice(*np.searchsorted(doc, [d, d + 1]))]]
+                lo, hi = np.searchsorted(doc, [d, d + 1])  # in order of documents
+                pick = lo + np.flatnonzero(marked[lo:hi])
                 spans[d] = [{"start": where[at[i] - borders[d]][0], "end": where[at[i] - borders[d]][1], "marginal": float(m[i])} for i in pick]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32)),
