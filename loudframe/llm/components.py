@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +38,24 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each node to the smallest node of its component, for links that are in one task's memory.
+
+    As many edges as nodes replace any number of links between them; components stay the same.
+    """
+    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j, label = flat[:len(a)], flat[len(a):], np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        # The labels' own labels are lowered too, so chains shrink by half and more in each turn.
+        for at in (i, j, label[i], label[j]):
+            np.minimum.at(new, at, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    more = label != np.arange(len(nodes))
+    return nodes[more], nodes[label[more]]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loudframe.llm import chat, decontamination, quality, sharding, toxicity, warc
+from loudframe.llm import chat, decontamination, packing, quality, sharding, simhash, toxicity, warc
 from loudframe.llm.common import remainder_of_id, table
 from loudframe.session import fresh_path
 
@@ -111,3 +111,19 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
     segments = chat.format_segments(chat.ordered(given.unionByName(more)))
     return chat.read_back(segments).drop("error")
+
+
+def tokenizer_path() -> str:
+    from public_tokenizers import path
+
+    return path("word_bpe_49k.json")
+
+
+@query()
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query()
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))

@@ -50,7 +50,7 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
     owner = np.repeat(np.arange(len(texts)), sizes)[real]
     coded = words.filter(pa.array(real)).dictionary_encode()
-    return np.searchsorted(owner, np.arange(len(texts) + 1)), coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    return np.searchsorted(owner, np.arange(len(texts) + 1)), coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
