@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loudframe.llm import chat, decontamination, packing, quality, sharding, simhash, toxicity, warc
+from loudframe.llm import chat, decontamination, embeddings, packing, quality, sharding, simhash, toxicity, warc
 from loudframe.llm.common import remainder_of_id, table
 from loudframe.session import fresh_path
 
@@ -127,3 +127,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
