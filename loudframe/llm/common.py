@@ -5,7 +5,11 @@ from __future__ import annotations
 import sys
 import types
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +60,27 @@ def worker_cache(name: str) -> dict:
     """
     holder = sys.modules.setdefault("_loudframe_worker", types.ModuleType("_loudframe_worker"))
     return holder.__dict__.setdefault(name, {})
+
+
+def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """All words between ASCII white space, A-Z in small letters if asked, and how many each text has. Null has none.
+
+    Words are lowered after the cut: Arrow's lower-casing breaks the offsets of a sliced array.
+    """
+    cut = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    words, sizes = cut.flatten(), np.diff(cut.offsets.to_numpy())
+    real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+    if not real.all():  # white space at the ends of a text leaves empty words
+        sizes = np.bincount(np.repeat(np.arange(len(texts)), sizes)[real], minlength=len(texts))
+    words = words.filter(pa.array(real))
+    return pc.ascii_lower(words) if lower else words, sizes
+
+
+def text_parts(batch: pa.RecordBatch, text: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``size`` bytes of text each, a row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)) // size
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at], side="right")))
+        yield batch.slice(at, to - at)
+        at = to

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loudframe.llm.common import stored, worker_cache
+from loudframe.llm.common import stored, text_parts, worker_cache
 
 WINDOW, END_ID = 4096, 2
 #: Tokens of one retrieval shard, and of one task.
@@ -126,8 +126,8 @@ class Tokens:
             mask[other] = True
             texts = pc.if_else(pa.array(mask), None, texts)
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        cut = pc.ascii_split_whitespace(pc.utf8_lower(texts))
-        coded = cut.flatten().dictionary_encode()
+        cut = pc.ascii_split_whitespace(texts)
+        coded = pc.utf8_lower(cut.flatten()).dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False)
         if len(self.known) + len(words) > CACHED_WORDS:
             self._forget()
@@ -157,11 +157,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         end = np.array([END_ID], np.uint16)
         for batch in batches:
             # Parts of a few hundred thousand words: few enough for the memory, many enough to repeat words.
-            rough = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)) // PART_BYTES
-            at = 0
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(rough, rough[at], side="right")))
-                part, at = batch.slice(at, to - at), to
+            for part in text_parts(batch, 2, PART_BYTES):
                 ids = [np.append(x, end) for x in tokens.encode(part.column(2))]
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()),

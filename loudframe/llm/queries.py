@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loudframe.llm import chat, decontamination, embeddings, packing, quality, sharding, simhash, toxicity, warc
+from loudframe.llm import chat, decontamination, embeddings, lm, packing, quality, sharding, simhash, toxicity, warc
 from loudframe.llm.common import remainder_of_id, table
 from loudframe.session import fresh_path
 
@@ -132,3 +132,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    train = docs.where(remainder_of_id(docs["doc_id"], 7) != 2)
+    counts = lm.token_counts(train)
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()[0]
+    scored = lm.score(docs, counts, lm.fit(train, counts))
+    return scored.select("doc_id", (remainder_of_id(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known",
+                         F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loudframe.llm.common import stored
+from loudframe.llm.common import split_words, stored, text_parts
 from loudframe.llm.components import components, local_forest
 
 SHINGLE, RADIUS, SEGMENTS, SEED = 3, 3, 2, 42
@@ -66,16 +66,10 @@ def fingerprints(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), text_c
     """The ``columns`` and ``fp`` (the 64 bits as a long) of every row; null texts and texts without words have 0."""
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, found, at = pc.fill_null(batch.column(batch.num_columns - 1).cast(pa.large_string()), ""), [], 0
-            rough = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // (CHUNK_WORDS * 6)
-            while at < len(texts):
-                end = max(at + 1, int(np.searchsorted(rough, rough[at], side="right")))
-                cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(at, end - at)))
-                words, owner = cut.flatten(), np.repeat(np.arange(end - at), np.diff(cut.offsets.to_numpy()))
-                real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
-                sizes = np.bincount(owner[real], minlength=end - at)
-                found.append(_fingerprints(words.filter(pa.array(real)), sizes, shingle, seed))
-                at = end
+            found = []
+            for part in text_parts(batch, batch.num_columns - 1, CHUNK_WORDS * 6):
+                words, sizes = split_words(part.column(part.num_columns - 1))
+                found.append(_fingerprints(words, sizes, shingle, seed))
             fp = np.concatenate(found) if found else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
 

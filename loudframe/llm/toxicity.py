@@ -17,11 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loudframe.llm.common import stored
+from loudframe.llm.common import split_words, stored
 
 #: Labelled documents that the field is fitted on, chosen by a hash of the id.
 MAX_LABELLED = 10_000
@@ -45,12 +44,9 @@ def features_of(word: str) -> list[str]:
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Word borders of each text, each word's number, and the distinct words. A null text has none."""
-    cut = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-    words, sizes = cut.flatten(), np.diff(cut.offsets.to_numpy())
-    real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
-    owner = np.repeat(np.arange(len(texts)), sizes)[real]
-    coded = words.filter(pa.array(real)).dictionary_encode()
-    return np.searchsorted(owner, np.arange(len(texts) + 1)), coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    words, sizes = split_words(texts, lower=False)
+    coded = words.dictionary_encode()
+    return np.append(0, np.cumsum(sizes)), coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
