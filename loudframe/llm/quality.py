@@ -155,13 +155,25 @@ def rule_column(rule: tuple) -> Column:
     return out
 
 
-def score(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """All columns of every document, then score and predicted (a column of that name is replaced)."""
+def _compiled(docs: DataFrame, model: dict, text_col: str) -> tuple[DataFrame, Column]:
+    """The documents with the statistics that the rules use, and the log-odds as a column over them."""
     used = {name for rule, _ in model["rules"] for name, _, _ in rule}
     stats = {f"__{k}": c for k, c in statistics(docs[text_col]).items() if k in used}
     linear = F.lit(model["bias"])
     for rule, weight in model["rules"]:
         linear = linear + F.when(rule_column(rule), F.lit(weight)).otherwise(F.lit(0.0))
+    return docs.withColumns(stats), linear
+
+
+def keep_good(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The documents whose score reaches the threshold, all columns as they are."""
+    rows, linear = _compiled(docs, model, text_col)
+    return rows.where(1 / (1 + F.exp(-linear)) >= threshold).select(*docs.columns)
+
+
+def score(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """All columns of every document, then score and predicted (a column of that name is replaced)."""
+    rows, linear = _compiled(docs, model, text_col)
     kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
-    scored = docs.withColumns(stats).select(*kept, (1 / (1 + F.exp(-linear))).alias("score"))
+    scored = rows.select(*kept, (1 / (1 + F.exp(-linear))).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

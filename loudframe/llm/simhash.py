@@ -83,7 +83,7 @@ def _ball(bits: int, radius: int) -> list[int]:
     return [sum(1 << i for i in at) for k in range(radius + 1) for at in combinations(range(bits), k)]
 
 
-def _cell_links(key: np.ndarray, fp: np.ndarray, own: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _cell_links(key: np.ndarray, own: np.ndarray, node: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within cells; rows are sorted by cell, with the table's own entries first in each."""
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(first, len(key)))
@@ -91,9 +91,9 @@ def _cell_links(key: np.ndarray, fp: np.ndarray, own: np.ndarray, radius: int) -
     left, right = [], []
 
     def verify(i: np.ndarray, j: np.ndarray) -> None:
-        near = (np.bitwise_count(fp[i] ^ fp[j]) <= radius) & (fp[i] != fp[j])
-        left.append(fp[i[near]])
-        right.append(fp[j[near]])
+        near = (np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1) <= radius) & (node[i] != node[j])
+        left.append(node[i[near]])
+        right.append(node[j[near]])
 
     pairs = size * table
     some = (pairs >= 2) & (size > 1)
@@ -110,42 +110,47 @@ def _cell_links(key: np.ndarray, fp: np.ndarray, own: np.ndarray, radius: int) -
         for at in range(0, int(table[c]), rows):
             mine = here[at:min(at + rows, int(table[c]))]
             verify(np.repeat(mine, len(here)), np.tile(here, len(mine)))
-            a, b = local_forest(np.concatenate(left), np.concatenate(right)) if left else (left, right)
+            a, b = local_forest(np.concatenate(left), np.concatenate(right))
             left, right = [a], [b]
     if not left:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return local_forest(np.concatenate(left), np.concatenate(right))
 
 
-def links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
-    """(a, b): enough links between distinct fingerprints (column ``fp``) at ``radius`` or fewer bits to join what they join."""
-    width = BITS // segments
-    mask = (1 << width) - 1
-    balls = _ball(width, radius // segments)
-    rows = None
-    for s in range(segments):
-        own = F.shiftrightunsigned("fp", s * width).bitwiseAND(F.lit(mask))
-        cells = F.transform(F.array(*(F.lit(m).cast("long") for m in balls)), lambda m, i: F.struct(
-            own.bitwiseXOR(m).alias("key"), (i == 0).alias("own")))
-        part = fps.select("fp", F.lit(s).alias("segment"), F.explode(cells).alias("cell"))
-        rows = part if rows is None else rows.union(part)
-    # The segment's number goes above its bits; a 64-bit segment has no room, but then there is only one.
-    key = F.col("cell.key") + (F.shiftleft(F.col("segment").cast("long"), width) if segments > 1 else F.lit(0))
-    dealt = (rows.select(key.alias("key"), "fp", F.col("cell.own").alias("own"))
+def links(nodes: DataFrame, lanes: list[str], radius: int, width: int, ball: int) -> DataFrame:
+    """(a, b): enough links between nodes, whose fingerprints (columns ``lanes``) differ in ``radius`` or fewer bits together, to join what they join.
+
+    Segments of ``width`` bits are looked up with up to ``ball`` bits flipped. All links are found if
+    (ball + 1) * number of segments > radius.
+    """
+    mask, balls, rows, number = (1 << width) - 1, _ball(width, ball), None, 0
+    for lane in lanes:
+        for s in range(BITS // width):
+            own = F.shiftrightunsigned(lane, s * width).bitwiseAND(F.lit(mask).cast("long"))
+            cells = F.transform(F.array(*(F.lit(m).cast("long") for m in balls)), lambda m, i: F.struct(
+                own.bitwiseXOR(m).alias("key"), (i == 0).alias("own")))
+            part = nodes.select(F.lit(number).cast("long").alias("segment"), "node", *lanes, F.explode(cells).alias("cell"))
+            rows, number = part if rows is None else rows.union(part), number + 1
+    # The segment's number goes above its bits.
+    key = F.col("cell.key") + F.shiftleft("segment", width)
+    dealt = (rows.select(key.alias("key"), F.col("cell.own").alias("own"), "node", *lanes)
              .repartition("key").sortWithinPartitions("key", F.desc("own")))
 
+    def cells_of(held: list[np.ndarray]) -> pa.RecordBatch:
+        return _batch(*_cell_links(held[0], held[1], held[2], np.stack(held[3:], axis=1), radius))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for batch in batches:
-            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             last = int(np.searchsorted(now[0], now[0][-1], side="left")) if len(now[0]) else 0
             held = [x[last:] for x in now]  # its cell may go on in the next batch
             if last:
-                yield _batch(*_cell_links(*(x[:last] for x in now), radius))
+                yield cells_of([x[:last] for x in now])
         if held is not None and len(held[0]):
-            yield _batch(*_cell_links(*held, radius))
+            yield cells_of(held)
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -160,7 +165,7 @@ def group_by_fingerprint(prints: DataFrame, id_col: str = "doc_id", radius: int
     Rows without an id take part in links; a component of such rows only has a null id.
     """
     distinct = stored(prints.groupBy("fp").agg(F.min(id_col).alias("low")), "fingerprints")
-    roots = components(links(distinct.select("fp"), radius, segments))
+    roots = components(links(distinct.select(F.col("fp").alias("node"), "fp"), ["fp"], radius, BITS // segments, radius // segments))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.where("root <> fp OR low IS NOT NULL").groupBy("root").agg(F.min("low").alias("component_id"))
     ids = rooted.join(lowest, "root", "left").select(F.col("fp").alias("__fp"), "component_id")

@@ -289,3 +289,17 @@ def score(docs: DataFrame, model: dict, columns: tuple[str, ...] = ("doc_id",),
     slim = docs.select(*(docs[c] for c in columns), docs[text_col].alias("__text"))
     types = ", ".join(f"`{c}` {t}" for c, t in slim.dtypes[:-1])
     return slim.mapInArrow(per_batch, f"{types}, score double, predicted int, spans array<struct<start:int,end:int,marginal:double>>")
+
+
+def drop_toxic(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The documents whose score is below the threshold, all columns as they are."""
+    at = docs.columns.index(text_col)
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            borders, codes, words = _tokens(batch.column(at))
+            doc, _, m = _marginals(model, _feature_table(words, model["lexicon"]), codes, borders)
+            p = 1 / (1 + np.exp(-np.clip(_summary(doc, m, np.diff(borders)) @ model["score"], -30, 30)))
+            yield batch.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(per_batch, docs.schema)
