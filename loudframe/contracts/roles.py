@@ -230,7 +230,7 @@ l AS (SELECT o_custkey AS path, o_orderdate AS ts, o_orderkey AS id,
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four tag rows per document; French documents have none. Keys differ in case."""
+    """Four tag rows per document, in one of three namespaces; French documents have none. Keys differ in case."""
     docs = table(spark, sf_dir, "documents").where("lang <> 'fr'")
     docs = docs.withColumn("gain", format_gain_tag(F.col("n_chars") % 3000 / 128))
     return docs.selectExpr(
@@ -239,11 +239,11 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
                     1, 'MP3GAIN_UNDO', format_string('%+04d,%+04d,N', doc_id % 9 - 4, doc_id % 7 - 3),
                     2, 'Language', lang,
                     3, 'LANGUAGE', source) AS (pos, key, value)""",
-    ).selectExpr("path", "'APEv2' AS namespace", "pos", "key", "value")
+    ).selectExpr("path", "element_at(array('APEv2', 'com.apple.iTunes', 'com.x'), int(path % 3 + 1)) AS namespace", "pos", "key", "value")
 
 
 TAGS = """
-t4 AS (SELECT doc_id AS path, 'APEv2' AS namespace, u.pos AS pos, u.key AS key, u.value AS value
+t4 AS (SELECT doc_id AS path, ['APEv2', 'com.apple.iTunes', 'com.x'][doc_id % 3 + 1] AS namespace, u.pos AS pos, u.key AS key, u.value AS value
        FROM documents, LATERAL (VALUES
          (0, 'Replaygain_Track_Gain', printf('%+.2f dB', (n_chars % 3000) / 128e0)),
          (1, 'MP3GAIN_UNDO', printf('%+04d,%+04d,N', doc_id % 9 - 4, doc_id % 7 - 3)),

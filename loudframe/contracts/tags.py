@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loudframe import constants as C
 from loudframe.contracts.frames import _be32, _join, _le32, _text, _zeros
 from loudframe.contracts.roles import KEYS, TAGS, TRACKS, contract, spread, table, tags, windows
 from loudframe.functions import tags as T
@@ -150,6 +151,7 @@ def _updates(spark, sf_dir):
     )
 
 
+_LEVEL_KEYS = "('REPLAYGAIN_TRACK_GAIN', 'REPLAYGAIN_TRACK_PEAK', 'REPLAYGAIN_ALBUM_GAIN', 'REPLAYGAIN_ALBUM_PEAK')"
 _UPDATES = """
 u AS (SELECT doc_id AS path, 'APEv2' AS namespace, 0 AS pos, 'REPLAYGAIN_ALBUM_GAIN' AS key,
              printf('%+.2f dB', (doc_id % 64) / 8e0) AS value FROM labels WHERE quality = 1)"""
@@ -157,14 +159,14 @@ u AS (SELECT doc_id AS path, 'APEv2' AS namespace, 0 AS pos, 'REPLAYGAIN_ALBUM_G
 
 @contract(f"""
 WITH {TAGS}, {_UPDATES}
-SELECT * FROM t4 WHERE NOT (upper(key) LIKE 'REPLAYGAIN_%' AND path IN (SELECT path FROM u)) UNION ALL SELECT * FROM u""")
+SELECT * FROM t4 WHERE NOT (upper(key) IN {_LEVEL_KEYS} AND (path, namespace) IN (SELECT (path, namespace) FROM u)) UNION ALL SELECT * FROM u""")
 def merge_tag_rows(spark, sf_dir):
     return TT.merge_tag_rows(tags(spark, sf_dir), _updates(spark, sf_dir))
 
 
 @contract(f"""
 WITH {TAGS}, {_UPDATES}
-SELECT * FROM t4 WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.path = t4.path AND upper(u.key) = upper(t4.key)) UNION ALL SELECT * FROM u""")
+SELECT * FROM t4 WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.path = t4.path AND u.namespace = t4.namespace AND upper(u.key) = upper(t4.key)) UNION ALL SELECT * FROM u""")
 def merge_tag_rows_keep(spark, sf_dir):
     return TT.merge_tag_rows(tags(spark, sf_dir), _updates(spark, sf_dir), keep_missing=True)
 
@@ -175,6 +177,13 @@ def delete_tags(spark, sf_dir):
     return TT.delete_tags(tags(spark, sf_dir), files)
 
 
+@contract(f"""WITH {TAGS} SELECT * FROM t4
+WHERE NOT (namespace = 'com.apple.iTunes' AND upper(key) IN {_LEVEL_KEYS} AND path IN (SELECT doc_id FROM labels WHERE toxic = 1))""")
+def delete_level_tags(spark, sf_dir):
+    files = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("path"))
+    return TT.delete_tags(tags(spark, sf_dir), files, namespace=C.MP4_NAMESPACE, keys=C.LEVEL_KEYS)
+
+
 @contract(f"""
 WITH {TAGS}
 SELECT doc_id AS path, (SELECT count(*) FROM t4 WHERE t4.path = doc_id) AS removed, 'success' AS status FROM labels WHERE toxic = 1""")
@@ -188,7 +197,7 @@ WITH {TAGS}, {TRACKS},
 v AS (SELECT track AS path, 'com.apple.iTunes' AS namespace, n.pos, n.key, n.value
       FROM t, LATERAL (VALUES (0, 'REPLAYGAIN_TRACK_GAIN', printf('%+.2f dB', 64.82e0 - loudness_db)),
                               (1, 'REPLAYGAIN_TRACK_PEAK', printf('%.6f', peak / 3e0))) AS n(pos, key, value))
-SELECT * FROM t4 WHERE NOT (upper(key) LIKE 'REPLAYGAIN_%' AND path IN (SELECT path FROM v)) UNION ALL SELECT * FROM v""")
+SELECT * FROM t4 WHERE NOT (upper(key) IN {_LEVEL_KEYS} AND (path, namespace) IN (SELECT (path, namespace) FROM v)) UNION ALL SELECT * FROM v""")
 def upsert_tags(spark, sf_dir):
     tracks = LO.track_loudness(windows(spark, sf_dir), KEYS)
     lists = tracks.select(F.col("track").alias("path"), T.level_tags(F.col("gain_db"), F.col("peak") / 3).alias("items"))

@@ -141,7 +141,14 @@ class RunFilter:
         return (np.concatenate(parts) if parts else np.empty(0)), state
 
 
-_KERNELS: dict[int, RunFilter] = {}
+class _Kernels(dict):
+    """Kernels made so far in this process. Travels to workers empty: what a function ships doesn't depend on what ran before."""
+
+    def __reduce__(self):
+        return _Kernels, ()
+
+
+_KERNELS = _Kernels()
 
 
 def run_filter(rate: int) -> RunFilter:
@@ -212,7 +219,10 @@ def _blocked(packets: DataFrame, keys: Sequence[str], per_block: int) -> DataFra
         return None
     own = L.int_div(F.col("packet_no"), per_block)
     rows = _lend(usable, [*keys, "packet_no"], own, F.col("packet_no") >= (own + 1) * per_block - lend)
-    return rows.join(blocks.select(*keys, "__chunk", "block_start"), [*keys, "__chunk"], "left")
+    names = [*keys, "__chunk"]
+    placed = blocks.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(names)], "block_start")
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(names)]
+    return rows.join(placed, same, "left").drop(*[f"__k{i}" for i in range(len(names))])
 
 
 def _placed(packets: DataFrame, keys: Sequence[str], chunk: int) -> DataFrame:
@@ -258,8 +268,8 @@ def _filtered_chunk(table: pa.Table):
     right_raw = _right(table, left_raw, sizes, scale) if stereo else left_raw
     right = kernel.apply(right_raw)[0] if stereo else left
     keep = np.repeat(own, sizes)
-    peak = np.maximum(np.abs(left_raw), np.abs(right_raw))[keep].max() / C.PCM_SCALE
-    return table, own, sizes, keep, left, right, stereo, float(peak)
+    loud = np.maximum(np.abs(left_raw), np.abs(right_raw))[keep] / C.PCM_SCALE
+    return table, own, sizes, keep, left, right, stereo, loud
 
 
 def filter_window_sums(packets: DataFrame, keys: Sequence[str] = ("album", "track"),
@@ -280,7 +290,7 @@ def filter_window_sums(packets: DataFrame, keys: Sequence[str] = ("album", "trac
             return pa.table({**{k: table[k].slice(0, 0) for k in keys}, "window_no": pa.array([], pa.int64()),
                              "sum_squares": pa.array([], pa.float64()), "samples": pa.array([], pa.int64()),
                              "peak": pa.array([], pa.float64())})
-        table, _, sizes, keep, left, right, _, peak = done
+        table, _, sizes, keep, left, right, _, loud = done
         per_window = table["sample_rate"][0].as_py() * C.WINDOW_MS // 1000
         starts = np.asarray(table["first_sample"])
         position = (np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(len(left)))[keep]
@@ -289,12 +299,13 @@ def filter_window_sums(packets: DataFrame, keys: Sequence[str] = ("album", "trac
         energy = np.bincount(window - base, weights=(left * left + right * right)[keep])
         count = np.bincount(window - base)
         used = np.nonzero(count)[0]
+        peak = np.maximum.reduceat(loud, np.searchsorted(window - base, used))  # positions only grow
         return pa.table({
             **{k: pa.concat_arrays([table[k].slice(0, 1).combine_chunks()]).take(pa.array(np.zeros(len(used), np.int64))) for k in keys},
             "window_no": pa.array(used + base, pa.int64()),
             "sum_squares": pa.array(energy[used], pa.float64()),
             "samples": pa.array(count[used], pa.int64()),
-            "peak": pa.array(np.full(len(used), peak), pa.float64()),
+            "peak": pa.array(peak, pa.float64()),
         })
 
     parts = _placed(packets, keys, chunk).groupBy(*keys, "__chunk").applyInArrow(sums, schema)

@@ -17,8 +17,6 @@ from loudframe.functions.levels import int_div
 from loudframe.session import durable
 
 _BLOCK = "__block"
-MAX_HOT_KEYS = 1000
-HOT_ROWS = 1_000_000
 
 
 def time_blocks(ts: str, seconds: int = 3600) -> Column:
@@ -48,46 +46,28 @@ def with_range_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return durable(ranged.withColumn(name, F.spark_partition_id()))
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], more_than: int) -> DataFrame:
-    """The largest keys with more than some number of rows, at most ``MAX_HOT_KEYS`` of them.
-
-    Whatever is left out has at most ``max(more_than, rows / MAX_HOT_KEYS)`` rows per key.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__cnt"))
-    largest = counts.where(F.col("__cnt") > more_than).orderBy(F.col("__cnt").desc(), *keys).limit(MAX_HOT_KEYS)
-    return largest.select(*keys, F.lit(True).alias("__hot"))
-
-
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column],
                    block: Column, firsts: dict[str, Column] | None = None,
-                   lasts: dict[str, Column] | None = None, hot_rows: int | None = None) -> DataFrame:
+                   lasts: dict[str, Column] | None = None) -> DataFrame:
     """Add inclusive running values per key: sums, first and last non-NULL values so far.
 
-    ``block`` must not decrease along ``order`` inside a key; ``keys`` must not be NULL.
-    Blocks pay off when they hold many rows. With ``hot_rows`` only keys with more rows than
-    that are cut; the list of such keys has a fixed maximal length and is broadcast.
+    ``block`` must not decrease along ``order`` inside a key. Every key is cut along its blocks, so
+    the largest window is the largest block. NULL keys are keys of their own.
 
-    The input is read for the rows, for the block totals and for the key sizes, the latter two
-    with few columns. Store it first if it is costly to compute.
+    The input is read twice, for the rows and, with few columns, for the block totals. Store it
+    first if it is costly to compute.
     """
     keys, order, firsts, lasts = list(keys), list(order), firsts or {}, lasts or {}
-    if hot_rows is None:
-        rows = df.withColumn(_BLOCK, block)
-        cut = rows
-    else:
-        marked = df.join(F.broadcast(hot_keys(df, keys, hot_rows)), keys, "left")
-        rows = marked.withColumn(_BLOCK, F.when(F.col("__hot"), block))
-        cut = rows.where("__hot")
+    rows = df.withColumn(_BLOCK, block)
     spot = F.struct(*order)
-    totals = cut.groupBy(*keys, _BLOCK).agg(
+    totals = rows.groupBy(*keys, _BLOCK).agg(
         *[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()],
         *[F.min_by(c, F.when(c.isNotNull(), spot)).alias(f"__t_{n}") for n, c in firsts.items()],
         *[F.max_by(c, F.when(c.isNotNull(), spot)).alias(f"__t_{n}") for n, c in lasts.items()],
     )
     before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys,
-        _BLOCK,
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, _BLOCK])],
         *[F.sum(f"__t_{n}").over(before).alias(f"__o_{n}") for n in sums],
         *[F.first(f"__t_{n}", ignorenulls=True).over(before).alias(f"__o_{n}") for n in firsts],
         *[F.last(f"__t_{n}", ignorenulls=True).over(before).alias(f"__o_{n}") for n in lasts],
@@ -99,7 +79,8 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sum
         *[F.first(c, ignorenulls=True).over(inside).alias(f"__w_{n}") for n, c in firsts.items()],
         *[F.last(c, ignorenulls=True).over(inside).alias(f"__w_{n}") for n, c in lasts.items()],
     )
-    joined = local.join(offsets, [*keys, _BLOCK], "left")
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate([*keys, _BLOCK])]
+    joined = local.join(offsets, same, "left")
     return joined.select(
         *df.columns,
         *[
@@ -115,18 +96,18 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sum
 
 
 def sample_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | None = None,
-                 name: str = "n", hot_rows: int | None = HOT_ROWS) -> DataFrame:
+                 name: str = "n") -> DataFrame:
     """Add the zero-based position of each row in its key.
 
-    With ``block``, keys of more than ``hot_rows`` rows are cut along it; without, all rows
-    are range-partitioned, which needs no property of the order but a durable copy.
+    With ``block``, keys are cut along it; without, all rows are range-partitioned, which needs no
+    property of the order but a durable copy.
     """
     one = {name: F.lit(1).cast("bigint")}
     if block is None:
         ranged = with_range_blocks(df, keys, order)
         out = running_totals(ranged, keys, order, one, F.col("range_block")).drop("range_block")
     else:
-        out = running_totals(df, keys, order, one, block, hot_rows=hot_rows)
+        out = running_totals(df, keys, order, one, block)
     return out.withColumn(name, F.col(name) - 1)
 
 

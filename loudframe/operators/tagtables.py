@@ -44,16 +44,16 @@ def merge_tag_rows(tags: DataFrame, updates: DataFrame, reserved: Sequence[str]
                    keep_missing: bool = False) -> DataFrame:
     """Other tags stay; the reserved tags of updated files are replaced by the new rows.
 
-    A reserved key without a new row disappears, unless ``keep_missing`` keeps its old value.
+    Only tags in the namespace of a file's new rows are replaced. A reserved key without a new row
+    disappears, unless ``keep_missing`` keeps its old value. Rows with a NULL path or key stay.
     """
-    touched = updates.select("path", F.upper("key").alias("__k")) if keep_missing else updates.select("path")
-    touched = touched.distinct()
-    names = [k.upper() for k in reserved]
-    rows = tags.withColumn("__k", F.upper("key")).withColumn("__r", F.col("__k").isin(names))
-    on = ["path", "__k"] if keep_missing else ["path"]
-    old = rows.where("__r").join(touched, on, "left_anti").select(*tags.columns)
-    other = rows.where("NOT __r").select(*tags.columns)
-    return other.unionByName(old).unionByName(updates.select(*tags.columns))
+    new = updates.select(F.col("path").alias("__path"), F.col("namespace").alias("__ns"), F.upper("key").alias("__k"))
+    new = new.distinct() if keep_missing else new.select("__path", "__ns").distinct()
+    key = F.upper(tags["key"])
+    same = (tags["path"] == new["__path"]) & tags["namespace"].eqNullSafe(new["__ns"]) & key.isin([k.upper() for k in reserved])
+    if keep_missing:
+        same = same & (key == new["__k"])
+    return tags.join(new, same, "left_anti").unionByName(updates.select(*tags.columns))
 
 
 def level_tag_rows(levels: DataFrame, namespace: str = C.MP4_NAMESPACE) -> DataFrame:
@@ -72,9 +72,15 @@ def upsert_level_tags(tags: DataFrame, levels: DataFrame, namespace: str = C.MP4
     return merge_tag_rows(tags, level_tag_rows(durable(levels), namespace), keep_missing=keep_missing)
 
 
-def delete_tags(tags: DataFrame, files: DataFrame) -> DataFrame:
-    """The tag table without the tags of the given files."""
-    return tags.join(files.select("path"), "path", "left_anti")
+def delete_tags(tags: DataFrame, files: DataFrame, namespace: str | None = None, keys: Sequence[str] | None = None) -> DataFrame:
+    """The tag table without the tags of the given files; with ``namespace`` or ``keys`` only those of that namespace or those keys go."""
+    gone = files.select(F.col("path").alias("__path"))
+    same = tags["path"] == gone["__path"]
+    if namespace is not None:
+        same = same & (tags["namespace"] == namespace)
+    if keys is not None:
+        same = same & F.upper(tags["key"]).isin([k.upper() for k in keys])
+    return tags.join(gone, same, "left_anti")
 
 
 def delete_report(files: DataFrame, tags: DataFrame, dry_run: bool = False) -> DataFrame:

@@ -167,3 +167,22 @@ def test_missing_packets_close_up_and_are_reported(spark):
     assert placed == {0: 0, 1: 1000, 3: 2000, 4: 3000}
     gaps = O.packet_gaps(rows).first()
     assert (gaps.packets, gaps.missing) == (4, 1)
+
+
+def test_shipped_function_does_not_grow_with_the_kernels_made_here():
+    from pyspark import cloudpickle
+
+    FI.run_filter(44100)
+    few = len(cloudpickle.dumps(FI.run_filter))
+    for rate in FI.supported_rates():
+        FI.run_filter(rate)
+    assert len(cloudpickle.dumps(FI.run_filter)) == few
+
+
+def test_peak_belongs_to_its_window_and_null_album_is_a_key(spark):
+    signal = np.full(44100, 0.01)
+    signal[10] = 0.9
+    rows = packets(spark, {"a": (44100, "F32", signal, None)}, size=441).withColumn("album", F.lit(None).cast("string"))
+    got = {r.window_no: r.peak for r in FI.filter_window_sums(rows, chunk=8000).collect()}
+    assert len(got) == 20 and got.pop(0) == pytest.approx(0.9, rel=1e-6)
+    assert all(p == pytest.approx(0.01, rel=1e-6) for p in got.values())
