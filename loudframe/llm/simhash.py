@@ -137,7 +137,8 @@ def links(nodes: DataFrame, lanes: list[str], radius: int, width: int, ball: int
              .repartition("key").sortWithinPartitions("key", F.desc("own")))
 
     def cells_of(held: list[np.ndarray]) -> pa.RecordBatch:
-        return _batch(*_cell_links(held[0], held[1], held[2], np.stack(held[3:], axis=1), radius))
+        # As unsigned numbers: of a negative one, numpy counts the bits of its absolute value.
+        return _batch(*_cell_links(held[0], held[1], held[2], np.stack(held[3:], axis=1).view(np.uint64), radius))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None

@@ -177,8 +177,10 @@ def _marginals(field: dict, table: np.ndarray, codes: np.ndarray, borders: np.nd
     for k in range(count[0]):
         live = first[count > k] + k
         if k == 0:
-            # Before the first word both states are alike, as in the windows of the fit.
-            prev = np.einsum("i,gij->gj", np.full(2, 0.5), runs(at[live] - borders[doc[live]]))
+            # Nothing goes before a text's first word, as in the windows of the fit.
+            gap = at[live] - borders[doc[live]]
+            prev = np.einsum("i,gij->gj", np.array([1.0, np.exp(field["bias"])]), runs(np.maximum(gap - 1, 0)))
+            prev = np.where((gap > 0)[:, None], prev, 1.0)
         else:
             prev = np.einsum("gi,gij->gj", alpha[live - 1], runs(at[live] - at[live - 1] - 1))
         inner = (at[live] - borders[doc[live]] > 0)[:, None]
