@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents that rules are fitted on, chosen by a hash of the id.
-MAX_LABELLED = 20_000
-TREES, DEPTH, BINS, MIN_LEAF = 40, 3, 32, 10
+MAX_LABELLED = 8_000
+TREES, DEPTH, BINS, MIN_LEAF = 20, 3, 32, 10
+#: Proximal gradient steps of the lasso.
+STEPS = 400
 LASSO = 0.002
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -109,13 +111,13 @@ def fit_rules(x: np.ndarray, y: np.ndarray, lasso: float = LASSO) -> tuple[float
     bias = float(np.log(share / (1 - share)))
     if not rules:
         return bias, []
-    m = np.stack([_holds(r, x) for r in rules], axis=1).astype(np.float64)
-    seen, first = np.unique(m, axis=1, return_index=True)
-    rules, m = [rules[i] for i in first], m[:, first]
+    # Of rules that hold on the same rows the first one stays.
+    rules = list({_holds(r, x).tobytes(): r for r in reversed(rules)}.values())[::-1]
+    m = np.stack([_holds(r, x) for r in rules], axis=1).astype(np.float32)
     w = np.zeros(len(rules))
     v, b, vb, t = w.copy(), bias, bias, 1.0
     rate = 4.0 / max(np.linalg.norm(m.T @ m / len(y), 2) + 1, 1e-9)
-    for _ in range(1500):
+    for _ in range(STEPS):
         miss = 1 / (1 + np.exp(-np.clip(m @ v + vb, -30, 30))) - y
         new = v - rate * (m.T @ miss) / len(y)
         new = np.sign(new) * np.maximum(np.abs(new) - rate * lasso, 0)
