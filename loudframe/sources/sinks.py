@@ -69,9 +69,12 @@ def json_document(report: DataFrame, summary: DataFrame, album: DataFrame | None
     ]
     keyed = report.select(F.struct(F.struct(*order).alias("k"), F.struct(*fields).alias("v")).alias("r"))
     files = keyed.agg(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["v"]).alias("files"))
-    columns = ["files", "album", "summary"] if album is not None else ["files", "summary"]
+    # One album is an object, several are a list: none is left out.
+    several = album is not None and len(album.select(F.lit(1)).head(2)) > 1
+    columns = ["files", "summary"] if album is None else ["files", "albums" if several else "album", "summary"]
     parts = files.unionByName(summary.select(F.struct("*").alias("summary")), allowMissingColumns=True)
     if album is not None:
-        parts = parts.unionByName(album.limit(1).select(F.struct("*").alias("album")), allowMissingColumns=True)
+        rows = album.agg(F.sort_array(F.collect_list(F.struct("*"))).alias("albums")) if several else album.select(F.struct("*").alias("album"))
+        parts = parts.unionByName(rows, allowMissingColumns=True)
     parts = parts.agg(*[F.first(c, ignorenulls=True).alias(c) for c in columns])
     return parts.select(F.to_json(F.struct(*columns)).alias("value"))
