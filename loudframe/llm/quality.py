@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loudframe.llm.common import unique_name
+
 #: Labelled documents that rules are fitted on, chosen by a hash of the id.
 MAX_LABELLED = 8_000
 TREES, DEPTH, BINS, MIN_LEAF = 20, 3, 32, 10
@@ -149,22 +151,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return {"bias": bias, "rules": [(tuple((names[j], less, at) for j, less, at in r), w) for r, w in rules]}
 
 
-def rule_column(rule: tuple) -> Column:
-    """A rule as a condition over columns named like the statistics."""
+def rule_column(rule: tuple, stats: str) -> Column:
+    """A rule as a condition over the fields of a struct of statistics."""
     out = F.lit(True)
     for name, less, at in rule:
-        out = out & (F.col(f"__{name}") <= at if less else F.col(f"__{name}") > at)
+        out = out & (F.col(stats)[name] <= at if less else F.col(stats)[name] > at)
     return out
 
 
 def _compiled(docs: DataFrame, model: dict, text_col: str) -> tuple[DataFrame, Column]:
-    """The documents with the statistics that the rules use, and the log-odds as a column over them."""
+    """The documents with a struct of the statistics that the rules use, and the log-odds as a column over it.
+
+    The statistics are projected, where Spark computes what they share once, and pass through a
+    generator of one row. Without it a filter would be pushed below the projection, and every
+    comparison of every rule would compute its statistic anew.
+    """
     used = {name for rule, _ in model["rules"] for name, _, _ in rule}
-    stats = {f"__{k}": c for k, c in statistics(docs[text_col]).items() if k in used}
+    fields = [c.alias(k) for k, c in statistics(docs[text_col]).items() if k in used]
+    stats, made = unique_name(docs, "__stats"), unique_name(docs, "__made")
     linear = F.lit(model["bias"])
     for rule, weight in model["rules"]:
-        linear = linear + F.when(rule_column(rule), F.lit(weight)).otherwise(F.lit(0.0))
-    return docs.withColumns(stats), linear
+        linear = linear + F.when(rule_column(rule, stats), F.lit(weight)).otherwise(F.lit(0.0))
+    if not fields:
+        return docs, linear
+    return docs.withColumn(made, F.struct(*fields)).select(*docs.columns, F.explode(F.array(made)).alias(stats)), linear
 
 
 def keep_good(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
