@@ -4,7 +4,7 @@ Texts become token ids once. Documents are sorted by a minimum hash of their voc
 texts with much the same words lie together, and cut into shards of about a million tokens. Each
 shard has an inverted index with BM25 weights. A document that is not used yet seeds a window, its
 best matching unused neighbours fill it, and one that doesn't fit is cut; its rest opens the next
-window. Only the last sequence of a task has padding.
+window, which is filled with neighbours of that document. Only the last sequence of a task has padding.
 """
 
 from __future__ import annotations
@@ -171,18 +171,20 @@ class Shard:
     """An inverted index over the documents of a shard, with BM25 weights in its postings."""
 
     def __init__(self, docs: list[np.ndarray]):
-        counts = [np.unique(d, return_counts=True) for d in docs]
+        # The end id is in every document and says nothing.
+        counts = [np.unique(d[d != END_ID], return_counts=True) for d in docs]
         term = np.concatenate([c[0] for c in counts])
         doc = np.repeat(np.arange(len(docs)), [len(c[0]) for c in counts])
         tf = np.concatenate([c[1] for c in counts]).astype(np.float32)
-        length = np.array([len(d) for d in docs], np.float32)
+        length = np.array([c[1].sum() for c in counts], np.float32)
         order = np.argsort(term, kind="stable")
         self.terms, self.doc = counts, doc[order]
         self.first = np.searchsorted(term[order], np.arange((1 << 16) + 1))
         df = np.diff(self.first)
         idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5)).astype(np.float32)
-        norm = K1 * (1 - B + B * length / length.mean())
+        norm = K1 * (1 - B + B * length / max(1, length.mean()))
         self.weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc]))[order]
+        self.live = len(docs)
 
     def scores(self, d: int) -> np.ndarray:
         """BM25 score of every document for the different words of document ``d``."""
@@ -192,6 +194,17 @@ class Shard:
         at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
         return np.bincount(self.doc[at], weights=self.weight[at], minlength=len(self.terms))
 
+    def ranked(self, d: int, unused: np.ndarray) -> np.ndarray:
+        """Unused documents that have a word of document ``d``, best first."""
+        left = int(unused.sum())
+        if 2 * left < self.live:  # postings of used documents are left out now and then; weights stay
+            keep = unused[self.doc]
+            self.first = np.append(0, np.cumsum(keep))[self.first]
+            self.doc, self.weight, self.live = self.doc[keep], self.weight[keep], left
+        score = np.where(unused, self.scores(d), 0)
+        found = np.flatnonzero(score > 0)
+        return found[np.argsort(-score[found], kind="stable")]
+
 
 def pack(docs: Iterator[tuple], window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> Iterator[tuple]:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence, offset) for a stream of (doc_id, ids)."""
@@ -209,19 +222,24 @@ def pack(docs: Iterator[tuple], window: int = WINDOW, shard_tokens: int = SHARD_
 
     def shard(held: list[tuple]) -> Iterator[tuple]:
         index, unused = Shard([x[1] for x in held]), np.ones(len(held), bool)
-        for seed in range(len(held)):
-            if not unused[seed]:
-                continue
-            unused[seed] = False
-            yield from put(*held[seed])
-            if not filled:
-                continue
-            score = np.where(unused, index.scores(seed), 0)
-            for d in np.argsort(-score, kind="stable"):
-                if not score[d] > 0 or not filled:
-                    break
+        seed, after = None, 0
+        while True:
+            if seed is None:
+                while after < len(held) and not unused[after]:
+                    after += 1
+                if after == len(held):
+                    return
+                seed, unused[after] = after, False
+                yield from put(*held[seed])
+            neighbours = index.ranked(seed, unused) if filled else []
+            window_now, seed = sequence, None
+            for d in neighbours:
                 unused[d] = False
                 yield from put(*held[d])
+                if sequence != window_now:
+                    # The rest of a cut document opens the next window and seeks neighbours of its own.
+                    seed = d if filled else None
+                    break
 
     held, size = [], 0
     for doc in docs:

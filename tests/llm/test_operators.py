@@ -362,6 +362,34 @@ def test_token_ids_equal_the_librarys():
             assert [t.id for t in own.model.tokenize(token[:-4])] == [number]
 
 
+def test_windows_hold_neighbours_of_their_own_seed():
+    rng = np.random.default_rng(11)
+    given = []
+    for i in range(300):  # 20 subjects with words of their own besides common ones
+        own, common = 100 + 50 * (i % 20) + rng.integers(0, 50, 40), 5000 + rng.integers(0, 30, 20)
+        given.append((i, np.append(np.append(own, common), packing.END_ID).astype(np.uint16)))
+    words = [Counter(int(x) for x in ids[:-1]) for _, ids in given]
+    df = Counter(w for c in words for w in c)
+    mean = sum(sum(c.values()) for c in words) / len(words)
+
+    def bm25(q, d):
+        norm = packing.K1 * (1 - packing.B + packing.B * sum(words[d].values()) / mean)
+        return sum(math.log1p((len(words) - df[w] + 0.5) / (df[w] + 0.5)) * words[d][w] * (packing.K1 + 1) / (words[d][w] + norm) for w in words[q] if w in words[d])
+
+    windows = {}
+    for doc_id, *_, sequence, _ in packing.pack(iter(given), 256, 10**9):
+        windows.setdefault(sequence, []).append(doc_id)
+    used = set()
+    for sequence in sorted(windows):
+        seed, *rest = windows[sequence]
+        used.add(seed)
+        for d in rest:
+            best = max((bm25(seed, x) for x in range(len(given)) if x not in used), default=0)
+            assert bm25(seed, d) == pytest.approx(best, rel=1e-4)
+            used.add(d)
+    assert len(used) == len(given)
+
+
 def test_pieces_hold_their_ids():
     rng = np.random.default_rng(2)
     given = [(i, rng.integers(0, 300, n).astype(np.uint16)) for i, n in enumerate(rng.integers(1, 700, 80))]
