@@ -178,6 +178,30 @@ def test_near_duplicates_are_dropped(spark, docs, empty):
     assert near_dedup.drop_near_duplicates(empty).count() == 0
 
 
+def test_large_groups_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    base = [f"w{i}" for i in range(1000)]
+    # Copies are near to one text (0.91), not to each other (0.83); that text isn't the first.
+    rows = [(i, " ".join(base[:45 * i] + [f"n{i}x{k}" for k in range(45)] + base[45 * i + 45:])) for i in range(20)]
+    kept = near_dedup.drop_near_duplicates(spark.createDataFrame([*rows, (50, " ".join(base))], "doc_id long, text string"), similarity=0.9).collect()
+    assert [r.doc_id for r in kept] == [0]
+    # One true pair, and one component larger than a block with a single link to another text, among 100 candidates.
+    sets = {i: {1000 * i + k for k in range(20)} for i in range(100)}
+    sets[97] = set(list(sorted(sets[3]))[:19]) | {5}
+    for i in range(10, 20):
+        sets[i] = set(range(10_000, 10_040)) | {1000 * i + 500}
+    sets[80] = set(range(10_000, 10_040)) - set(range(10_000, 10_004)) | {10_500, 80_000}
+    given = [(0, i, np.sort(np.array(list(x), np.uint64)).tobytes()) for i, x in sets.items()]
+    table = spark.createDataFrame(given, "group long, cls long, shingles binary")
+    near = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    label = {i: i for i in sets}
+    for _ in sets:
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    got = {r.node: r.root for r in components.components(near_dedup.verified_links(table, 0.8, 6)).collect()}
+    assert {i: got.get(i, i) for i in sets} == label and label[97] == 3 and label[80] == 10
+
+
 def test_components_and_forest(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3), (100, 105)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
