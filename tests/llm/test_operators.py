@@ -178,6 +178,22 @@ def test_near_duplicates_are_dropped(spark, docs, empty):
     assert near_dedup.drop_near_duplicates(empty).count() == 0
 
 
+def test_pairs_with_one_inserted_passage_are_found(spark):
+    rng, rows = random.Random(9), []
+    for i in range(300):
+        # Half of the texts have few different words.
+        own = [f"{i}w{k}" for k in range(24)] if i % 2 else None
+        base = [rng.choice(own) if own else f"w{rng.randrange(10**6)}" for _ in range(400)]
+        at, n = rng.randrange(401), rng.randrange(60, 92)
+        rows += [(2 * i, base), (2 * i + 1, base[:at] + [f"{i}n{k}" for k in range(n)] + base[at:])]
+    sets = {i: {tuple(t[k:k + 5]) for k in range(len(t) - 4)} for i, t in rows}
+    near = [i for i in range(0, 600, 2) if 0.8 <= len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) < 0.87]
+    assert len(near) > 250
+    kept = {r.doc_id for r in near_dedup.drop_near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()}
+    assert kept >= set(range(0, 600, 2))
+    assert sum(i + 1 not in kept for i in near) >= len(near) - 2
+
+
 def test_large_groups_are_compared_whole(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
     base = [f"w{i}" for i in range(1000)]
