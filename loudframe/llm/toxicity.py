@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,8 @@ from loudframe.llm.common import split_words, stored
 #: Labelled documents that the field is fitted on, chosen by a hash of the id.
 MAX_LABELLED = 10_000
 MAX_LEXICON = 20_000
-#: Windows, of 2 * REACH + 1 words, that the weights are fitted on.
-MAX_WINDOWS = 20_000
+#: Windows, of 2 * REACH + 1 words, that each labelled document gives to the fit of the weights at most, chosen by a hash of text and position.
+DOCUMENT_WINDOWS = 8
 REACH = 4
 PREFIXES = (4, 5)
 MIN_TOXIC = 3
@@ -81,7 +82,8 @@ def _windows_of(lexicon: dict[str, int], strong: np.ndarray):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width, none = 1 + len(PREFIXES), len(lexicon)
         for batch in batches:
-            borders, codes, words = _tokens(batch.column("text"))
+            texts = batch.column("text")
+            borders, codes, words = _tokens(texts)
             table = _feature_table(words, lexicon)
             hit = (table < none).any(axis=1)
             marks = np.append(strong, False)[table].any(axis=1)
@@ -90,6 +92,10 @@ def _windows_of(lexicon: dict[str, int], strong: np.ndarray):
             for d in range(len(labels)):
                 own = codes[borders[d]:borders[d + 1]]
                 at = np.flatnonzero(hit[own])
+                if len(at) >= DOCUMENT_WINDOWS:
+                    seed = np.uint64(xxhash.xxh64_intdigest(texts[d].as_py()))
+                    drawn = (at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ seed) * np.uint64(0xD6E8FEB86659FD93)
+                    at = np.sort(at[np.argsort(drawn ^ (drawn >> np.uint64(32)), kind="stable")[:DOCUMENT_WINDOWS - 1]])
                 if len(own):
                     at = np.append(at, len(own) // 2)  # one window from elsewhere
                 for i in at:
@@ -104,7 +110,7 @@ def _windows_of(lexicon: dict[str, int], strong: np.ndarray):
     return cut
 
 
-def _fit_field(x: np.ndarray, y: np.ndarray, n_features: int, steps: int = 100, rate: float = 0.3, ridge: float = 1e-3) -> dict:
+def _fit_field(x: np.ndarray, y: np.ndarray, n_features: int, steps: int = 150, rate: float = 0.3, ridge: float = 1e-3) -> dict:
     """Weights of the field by gradient ascent on the windows' conditional log-likelihood. x: windows, words, features."""
     theta, bias, trans = np.zeros(n_features + 1), -3.0, np.zeros((2, 2))
     inside = x[:, :, 0] >= 0
@@ -250,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             .orderBy(F.desc("toxic"), "feature").limit(MAX_LEXICON).collect())
     model["lexicon"] = {r["feature"]: i for i, r in enumerate(rows)}
     strong = np.array([r["lift"] >= MARK_LIFT for r in rows], bool)
-    cut = sample.mapInArrow(_windows_of(model["lexicon"], strong), "x array<int>, y array<int>").limit(MAX_WINDOWS).toArrow()
+    cut = sample.mapInArrow(_windows_of(model["lexicon"], strong), "x array<int>, y array<int>").toArrow()  # at most max_labelled * DOCUMENT_WINDOWS rows
     if rows and cut.num_rows:
         size = 2 * REACH + 1
         x = cut["x"].combine_chunks().flatten().to_numpy().reshape(-1, size, 1 + len(PREFIXES))

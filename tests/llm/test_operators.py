@@ -283,6 +283,15 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_one_long_document_does_not_fill_the_fit_of_the_field(spark):
+    docs, labels = labelled(spark)
+    first = spark.createDataFrame([(6001, "vile nice plain word " * 25_000)], "doc_id long, text string")
+    docs = first.union(docs).coalesce(1)
+    model = toxicity.fit(docs, labels.union(spark.createDataFrame([(6001, 1, 0)], labels.schema)))
+    rows = [r for r in toxicity.score(docs, model).collect() if r.doc_id is not None and r.doc_id < 400 and r.doc_id % 5 == 0]
+    assert np.mean([len(r.spans) > 0 for r in rows]) > 0.9
+
+
 def test_marginals_equal_those_of_the_whole_sequence():
     rng = np.random.default_rng(4)
     field = {"theta": np.append(rng.normal(size=3) * 2, 0.0), "bias": -1.0, "trans": rng.normal(size=(2, 2))}
