@@ -16,6 +16,7 @@ in a join, after they were counted within each document.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,6 @@ from loudframe.llm.common import split_words, stored, text_parts
 HIDDEN, CLASS_SIZE, CLASSES, OPEN = 16, 32, 32, 32
 #: Words whose counts travel to the workers.
 FREQUENT = 131_072
-#: Share of the training documents, chosen by a hash of the text, that the network's weights are fitted on; counts use all.
-FIT_SHARE = 1 / 32
 ROUNDS, LANES, WINDOW, RATE = 6, 32, 16, 0.01
 #: Text handled at a time in a worker.
 PART_BYTES = 6 << 20
@@ -207,11 +207,17 @@ def _train(p: dict, docs: list[np.ndarray]) -> tuple[dict, int]:
     return p, lanes * steps
 
 
-def fit(docs: DataFrame, counts: DataFrame, text_col: str = "text", share: float = FIT_SHARE, rounds: int = ROUNDS) -> tuple[Vocabulary, dict] | None:
+def dealt_to_rounds(docs: DataFrame, rounds: int) -> DataFrame:
+    """All rows with ``round`` and ``place``, a hash that deals and orders the rows of a round; both follow from the row, not from its text."""
+    place = F.xxhash64(F.lit("place"), F.monotonically_increasing_id())
+    return docs.withColumn("place", place).withColumn("round", F.pmod(F.xxhash64(F.lit("round"), "place"), F.lit(rounds)).cast("int"))
+
+
+def fit(docs: DataFrame, counts: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[Vocabulary, dict] | None:
     """Vocabulary and weights; None where there is no training document.
 
-    Documents are chosen and dealt to rounds by a hash of their text, so the sample grows with the
-    input; a table of fewer than some hundred documents is used whole.
+    All documents are read once. They are dealt to rounds and tasks by a hash of their row, so copies
+    of one text spread like any others.
     """
     totals = counts.groupBy("open").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()  # one row per open class
     if not totals:
@@ -228,21 +234,19 @@ def fit(docs: DataFrame, counts: DataFrame, text_col: str = "text", share: float
     vocabulary = Vocabulary([tuple(r) for r in head], n + v + 1, {r["open"]: (r["c"], r["v"]) for r in totals})
     weights = _start(0, vocabulary)
 
-    pick = F.pmod(F.xxhash64(F.lit("fit"), text_col), F.lit(1 << 20))
-    limit = max(share, min(1.0, 2_000_000 / n)) * (1 << 20)
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_parts(batch, 1, PART_BYTES):
                 sizes, codes, words = _words(part.column(1))
                 numbers = vocabulary.of(words)[1].astype(np.int16)[codes]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(numbers))],
-                                                 names=["round", "numbers"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(numbers)), part.column(2)],
+                                                 names=["round", "numbers", "place"])
 
-    chosen = docs.where(pick < int(limit)).select((F.pmod(F.xxhash64(F.lit("round"), text_col), F.lit(rounds))).cast("int").alias("round"), F.col(text_col).alias("text"))
-    texts = stored(chosen.mapInArrow(encode, "round int, numbers array<short>"), "lm-sample")
+    dealt = dealt_to_rounds(docs.select(F.col(text_col).alias("text")), rounds)
+    texts = stored(dealt.select("round", "text", "place").mapInArrow(encode, "round int, numbers array<short>, place long"), "lm-texts")
     words = texts.agg(F.sum(F.size("numbers"))).first()[0] or 0
     tasks = max(1, round(words / rounds / TASK_WORDS))
+    slots = math.isqrt(tasks)
     names = sorted(weights)
 
     def one_round(now: dict):
@@ -252,17 +256,20 @@ def fit(docs: DataFrame, counts: DataFrame, text_col: str = "text", share: float
                 new, n = _train(now, own)
                 flat = np.concatenate([new[k].ravel() for k in names]).astype(np.float64) * n
                 parts = np.array_split(flat, 64)
-                yield pd.DataFrame({"part": range(64), "n": [n] * 64, "sums": parts})
+                slot = TaskContext.get().partitionId() % slots
+                yield pd.DataFrame({"part": range(64), "slot": [slot] * 64, "n": [n] * 64, "sums": parts})
         return run
 
     def add(key, rows):
-        return pd.DataFrame({"part": [key[0]], "n": [int(rows["n"].sum())], "sums": [np.stack(rows["sums"].to_numpy()).sum(axis=0)]})
+        return pd.DataFrame({"part": [key[0]], "slot": [key[1] if len(key) > 1 else 0], "n": [int(rows["n"].sum())], "sums": [np.stack(rows["sums"].to_numpy()).sum(axis=0)]})
 
-    schema = "part int, n long, sums array<double>"
+    schema = "part int, slot int, n long, sums array<double>"
     for k in range(rounds):
         of_round = texts.where(F.col("round") == k)
-        dealt = of_round.repartition(tasks, F.xxhash64("numbers")).sortWithinPartitions(F.xxhash64("numbers"))
-        got = dealt.select("numbers").mapInPandas(one_round(weights), schema).groupBy("part").applyInPandas(add, schema).collect()  # 64 rows
+        dealt = of_round.repartition(tasks, "place").sortWithinPartitions("place")
+        sums = dealt.select("numbers").mapInPandas(one_round(weights), schema)
+        # In two steps, so that no task adds up the weights of all others.
+        got = sums.groupBy("part", "slot").applyInPandas(add, schema).groupBy("part").applyInPandas(add, schema).collect()  # 64 rows
         if got:
             flat = np.concatenate([np.array(r["sums"]) / r["n"] for r in sorted(got)])
             at = 0

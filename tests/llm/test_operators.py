@@ -345,6 +345,14 @@ def test_language_model(spark, docs, empty):
     assert lm.score(docs, none, lm.fit(empty, none)).count() == docs.count()
 
 
+def test_all_documents_train_and_copies_spread_over_rounds(spark):
+    docs = spark.createDataFrame([("one text",)] * 600 + [(f"text {i}",) for i in range(300)], "text string").repartition(3)
+    dealt = lm.dealt_to_rounds(docs, 6).collect()
+    copies = Counter(r["round"] for r in dealt if r.text == "one text")
+    assert len(dealt) == 900 and len({r.place for r in dealt}) == 900
+    assert set(copies) == set(range(6)) and max(copies.values()) < 150
+
+
 def test_probabilities_of_all_words_add_up_and_gradients_are_right():
     head = [("", 50, 0), ("a", 40, 1), ("b", 30, 2), ("c", 5, 3)]
     vocabulary = lm.Vocabulary(head, 200, {k: (100, 4) for k in range(lm.OPEN)})
