@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loudframe.llm import chat, decontamination, embeddings, lm, packing, quality, sharding, simhash, toxicity, warc
+from loudframe.llm import chat, decontamination, divergence, embeddings, lm, merkle, packing, pieces, quality, sharding, simhash, toxicity, warc
 from loudframe.llm.common import remainder_of_id, table
 from loudframe.session import fresh_path
 
@@ -143,3 +143,90 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.score(docs, counts, lm.fit(train, counts))
     return scored.select("doc_id", (remainder_of_id(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known",
                          F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+TERMS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query(rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {TERMS_SQL} AS w FROM documents),
+t AS (SELECT r, lang, source, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+s AS (SELECT lang, source, CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY lang, source),
+l AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS n, sum(CAST(sum(n) AS BIGINT)) OVER (PARTITION BY lang) AS total FROM c GROUP BY lang, term),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+             1 + (1000000000 * (CAST(coalesce(c.n, 0) AS HUGEINT) + 5)) // (coalesce(total, 0) + 5 * v) AS p
+      FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+      LEFT JOIN s ON s.lang = g.lang AND s.source = g.source),
+q AS (SELECT lang, term, 1 + (1000000000 * (CAST(n AS HUGEINT) + 5)) // (total + 5 * v) AS q FROM l JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+          FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, CAST(p - q AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pairs UNION ALL FROM terms))
+WHERE part = 'pair' OR rank <= 50
+""")
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
+def piece_path() -> str:
+    from public_tokenizers import path
+
+    return path("piece_bpe_32k.model")
+
+
+@query()
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pieces.encode(docs, piece_path(), decoded=True)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({f} AS VARCHAR)) || ':' || CAST({f} AS VARCHAR), '-')" for f in fields) + ")"
+
+
+#: crc32 of a whole number written as text: each byte enters at the first of its eight shifts.
+_CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, len(CAST({0} AS VARCHAR)) + 1),
+  lambda i: [CAST(ascii(CAST({0} AS VARCHAR)[i]) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))), lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384)))"""
+
+
+def _tree_sql(name: str, start: str) -> str:
+    """All levels of trees: (tree, level, nodes), and the last one."""
+    return f"""{name}(tree, level, nodes) AS (
+  {start} UNION ALL
+  SELECT tree, level + 1, list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], '')))
+  FROM {name} WHERE len(nodes) > 1)"""
+
+
+@query(f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf_sql('n_chars')} AS leaf, {_leaf_sql('n_chars + 1')} AS other FROM documents),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS tree FROM d),
+{_tree_sql("low", "SELECT tree, 0, list(leaf ORDER BY idx) FROM t GROUP BY tree")},
+sub AS (SELECT tree, nodes[1] AS subroot FROM low WHERE len(nodes) = 1),
+{_tree_sql("high", "SELECT 0, 0, list(subroot ORDER BY tree) FROM sub")},
+steps AS (SELECT doc_id, idx, t.tree, level, (idx >> level) AS i, nodes FROM t JOIN low ON t.tree = low.tree WHERE len(nodes) > 1
+          UNION ALL SELECT doc_id, idx, t.tree, 1000 + level, ((t.tree - 1) >> level) AS i, nodes FROM t, high WHERE len(nodes) > 1),
+sides AS (SELECT tree, idx, level, coalesce(nodes[xor(i, 1) + 1], '') AS sibling, CASE WHEN i % 2 = 1 THEN 'L' ELSE 'R' END AS side FROM steps),
+proof AS (SELECT tree, idx, string_agg(sibling, '' ORDER BY level) AS siblings, list(side || sibling ORDER BY level) AS way FROM sides GROUP BY tree, idx),
+seen AS (SELECT t.*, subroot, sha256(coalesce(siblings, '')) AS proof_sha256, (SELECT nodes[1] FROM high WHERE len(nodes) = 1) AS root, {_CRC_SQL.format('doc_id')} % 7 = 0 AS bad, coalesce(way, []) AS way
+         FROM t JOIN sub USING (tree) LEFT JOIN proof USING (tree, idx)),
+folded AS (SELECT *, list_reduce(list_prepend(CASE WHEN bad THEN coalesce(other, leaf) ELSE leaf END, way),
+                  lambda a, s: sha256(CASE WHEN s[1] = 'L' THEN s[2:] || a ELSE a || s[2:] END)) AS folded_root FROM seen)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+""")
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    found = merkle.document_manifest(docs, tampered)
+    folded = merkle.folded(F.col("seen_leaf"), F.col("proof"))
+    return (found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"))
+            .withColumn("verified", F.col("folded_root") == F.col("root")))
