@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from loudframe.llm.common import text_parts, unique_name, worker_cache
 
 MARK = "▁"
-#: Different units whose pieces a worker remembers, and the bytes of such a unit at most.
-KNOWN_UNITS, UNIT_BYTES = 400_000, 200
+#: Different units, and bytes of such units, after which a worker begins to remember anew.
+KNOWN_UNITS, KNOWN_BYTES = 400_000, 16 << 20
 #: Bytes of text that are encoded at a time.
 PART_BYTES = 4 << 20
 #: Characters of a long text that are encoded at a time, and where it is cut: before a space behind another character.
@@ -115,14 +115,22 @@ class Model:
         raw = open(path, "rb").read()
         self.path, kinds = path, {}
         spec, suffix = {}, False
+        lengths, values, self.unknown = [], [], -1
         for number, value in wire_fields(raw):
             if number == 1:
                 piece = dict(wire_fields(value))
-                kinds.setdefault(piece.get(3, 1), set()).add(piece[1])
+                kind = piece.get(3, 1)
+                kinds.setdefault(kind, set()).add(piece[1])
+                if kind == 2:
+                    self.unknown = len(lengths)
+                lengths.append(1 if kind == 6 else len(piece[1]))
+                values.append(int(piece[1][3:-1], 16) if kind == 6 else -1)
             elif number == 2:
                 suffix = bool(dict(wire_fields(value)).get(24, 0))
             elif number == 3:
                 spec.update(wire_fields(value))
+        # Bytes that a piece stands for, and the value of one that is a single byte.
+        self.lengths, self.byte_values = np.array(lengths), np.array(values)
         self.map = CharacterMap(spec.get(2, b""))
         self.prefix, self.trim, self.escape = (bool(spec.get(k, 1)) for k in (3, 4, 5))
         self.suffix = suffix
@@ -208,57 +216,66 @@ class Model:
     # --- encoding ----------------------------------------------------------------------------
 
     def forget(self) -> None:
-        self.known, self.first = {}, np.zeros(1, np.int64)
-        self.pool = np.zeros((3, 0), np.int32)
-        self.bytes = np.zeros(0, np.int64)
-
-    def _encoded(self, units: list[str]) -> list[tuple[np.ndarray, int]]:
-        """(ids, begins, ends) of each unit, ranges in bytes of the unit, and the unit's bytes."""
-        out = []
-        for u in units:
-            raw = u.encode()
-            found = self.merges.encode(raw, return_type="proto").pieces
-            out.append((np.array([[p.id for p in found], [p.begin for p in found], [p.end for p in found]], np.int32).reshape(3, -1), len(raw)))
-        return out
+        self.known, self.used, self.held = {}, 0, 0
+        self.first, self.bytes = [0], []
+        self.pool = np.zeros((3, 1 << 16), np.int32)
+
+    def _encoded(self, units: list[str]) -> tuple[np.ndarray, list[int], list[int]]:
+        """ids, begins and ends of the pieces of all units, ranges in bytes of the unit; the pieces and the bytes of each unit."""
+        found = self.merges.encode(units, num_threads=1)
+        sizes, n = np.array([len(u.encode()) for u in units]), np.array([len(f) for f in found])
+        ids = np.fromiter(chain.from_iterable(found), np.int32, n.sum())
+        if (ids == self.unknown).any():  # such a piece has no length of its own
+            exact = [self.merges.encode(u.encode(), return_type="proto").pieces for u in units]
+            flat = [q for e in exact for q in e]
+            return np.array([[q.id for q in flat], [q.begin for q in flat], [q.end for q in flat]], np.int32).reshape(3, -1), [len(e) for e in exact], sizes.tolist()
+        length, value = self.lengths[ids], self.byte_values[ids]
+        ends = np.cumsum(length)
+        begins = ends - length
+        # Bytes of one character: all begin where it begins, and only the last ends where it ends.
+        goes_on = (value & 0xC0) == 0x80
+        goes_on[value < 0] = False
+        begins = np.maximum.accumulate(np.where(goes_on, 0, begins))
+        ends = np.where(np.append(goes_on[1:], False), begins, ends)
+        before = np.repeat(np.cumsum(sizes) - sizes, n)
+        return np.stack([ids, begins - before, ends - before]).astype(np.int32), n.tolist(), sizes.tolist()
 
     def _learn(self, units: list[str]) -> None:
-        fresh = self._encoded(units)
-        self.known.update(zip(units, range(len(self.known), len(self.known) + len(units))))
-        sizes = np.array([f.shape[1] for f, _ in fresh], np.int64)
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-        self.pool = np.concatenate([self.pool, *(f for f, _ in fresh)], axis=1)
-        self.bytes = np.append(self.bytes, [n for _, n in fresh])
-
-    def pieces_of(self, norm: str) -> np.ndarray:
-        """ids, begins and ends of the pieces of a normalised text, ranges in its bytes."""
-        units = self.units.findall(norm) if self.units else [norm] if norm else []
         if not units:
-            return np.zeros((3, 0), np.int32)
-        new = [u for u in dict.fromkeys(units) if u not in self.known]
-        if len(self.known) + len(new) > KNOWN_UNITS:
+            return
+        fresh, n, sizes = self._encoded(units)
+        while self.used + fresh.shape[1] > self.pool.shape[1]:
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)], axis=1)
+        self.pool[:, self.used:self.used + fresh.shape[1]] = fresh
+        self.known.update(zip(units, range(len(self.known), len(self.known) + len(units))))
+        self.first.extend((self.used + np.cumsum(n)).tolist())
+        self.bytes.extend(sizes)
+        self.used += fresh.shape[1]
+        self.held += sum(sizes)
+
+    def _parts(self, parts: list[str], heads: list[bool]) -> list[np.ndarray]:
+        """ids, begins and ends of the pieces of each part, which are normalised with or without a prefix; ranges in the part's own bytes."""
+        norms = [self.normalise(t, h) for t, h in zip(parts, heads)]
+        cut = [(self.units.findall(n.decode()) if self.units else [n.decode()] if n else []) for n, _ in norms]
+        if len(self.known) > KNOWN_UNITS or self.held > KNOWN_BYTES:
             self.forget()
-            new = list(dict.fromkeys(units))
-        own = [u for u in new if len(u) * 4 > UNIT_BYTES]
-        if own:
-            # Long units hardly repeat and are not remembered.
-            rest = set(own)
-            parts = [self._encoded([u])[0] if u in rest else None for u in units]
-            self._learn([u for u in new if u not in rest])
-            out, at = [], 0
-            for u, p in zip(units, parts):
-                if p is None:
-                    k = self.known[u]
-                    p = self.pool[:, self.first[k]:self.first[k + 1]], int(self.bytes[k])
-                out.append(p[0] + np.array([[0], [at], [at]], np.int32))
-                at += p[1]
-            return np.concatenate(out, axis=1)
-        self._learn(new)
-        k = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
-        start, n = self.first[k], self.first[k + 1] - self.first[k]
-        ends, at = np.cumsum(n), np.cumsum(self.bytes[k]) - self.bytes[k]
-        out = self.pool[:, np.repeat(start - (ends - n), n) + np.arange(ends[-1])]
+        units = list(chain.from_iterable(cut))
+        self._learn([u for u in dict.fromkeys(units) if u not in self.known])
+        k = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        first = np.array(self.first, np.int64) if len(units) > 1000 else None
+        start = first[k] if first is not None else np.array([self.first[i] for i in k], np.int64)
+        stop = first[k + 1] if first is not None else np.array([self.first[i + 1] for i in k], np.int64)
+        size = np.array(self.bytes, np.int64)[k] if first is not None else np.array([self.bytes[i] for i in k], np.int64)
+        n = stop - start
+        ends = np.cumsum(n)
+        out = self.pool[:, np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        # A place in all normalised texts, each with one more place for its end.
+        per_part = np.array([len(c) for c in cut])
+        at = np.cumsum(size) - size + np.repeat(np.arange(len(cut)), per_part)
         out[1:] += np.repeat(at, n).astype(np.int32)
-        return out
+        out[1:] = np.concatenate([p for _, p in norms])[out[1:]]
+        borders = np.append(0, ends)[np.append(0, np.cumsum(per_part))]
+        return [out[:, lo:hi] for lo, hi in zip(borders[:-1], borders[1:])]
 
     def slices(self, text: str) -> Iterator[str]:
         """A long text in parts that are encoded apart: no merge crosses the place before a space behind another character."""
@@ -271,16 +288,22 @@ class Model:
             at = m.end()
         yield text[at:] if at else text
 
-    def encode(self, text: str) -> np.ndarray:
-        """ids, begins and ends of the pieces of a text, ranges in its own bytes."""
-        found, before = [], 0
-        for i, part in enumerate(self.slices(text)):
-            norm, place = self.normalise(part, prefix=not i)
-            out = self.pieces_of(norm.decode())
-            out[1:] = place[out[1:]] + before
-            found.append(out)
-            before += int(place[-1])
-        return np.concatenate(found, axis=1)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """ids, begins and ends of the pieces of each text, ranges in its own bytes. Units that texts share are encoded once."""
+        parts = [(i, j, p) for i, t in enumerate(texts) for j, p in enumerate(self.slices(t))]
+        found: list[list[np.ndarray]] = [[] for _ in texts]
+        before, at = [0] * len(texts), 0
+        while at < len(parts):
+            to, held = at + 1, len(parts[at][2])
+            while to < len(parts) and held + len(parts[to][2]) <= PART_BYTES:
+                held += len(parts[to][2])
+                to += 1
+            for (i, _, p), out in zip(parts[at:to], self._parts([p for *_, p in parts[at:to]], [not j for _, j, _ in parts[at:to]])):
+                out[1:] += before[i]
+                before[i] += len(p.encode())
+                found[i].append(out)
+            at = to
+        return [np.concatenate(f, axis=1) if len(f) > 1 else f[0] for f in found]
 
 
 def _char_starts(raw: bytes) -> np.ndarray:
@@ -320,7 +343,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", decoded: bool = F
             last = batch.num_columns - 1
             for part in text_parts(batch, last, PART_BYTES):
                 texts = pc.fill_null(part.column(last).cast(pa.large_string()), "").to_pylist()
-                found = [own.encode(t) for t in texts]
+                found = own.encode(texts)
                 at = pa.array(np.cumsum([0] + [f.shape[1] for f in found]), pa.int32())
                 flat = np.concatenate([np.zeros((3, 0), np.int32), *found], axis=1)
                 columns = [pa.ListArray.from_arrays(at, pa.array(flat[i], pa.int32())) for i in range(3)]

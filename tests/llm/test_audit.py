@@ -148,9 +148,9 @@ def test_pieces_and_their_bytes_are_the_library_s(models, name):
     import sentencepiece
 
     sp, own = sentencepiece.SentencePieceProcessor(model_file=models[name]), pieces.Model(models[name])
-    for text in texts():
-        got = own.encode(text)
+    for text, got in zip(texts(), own.encode(texts())):
         assert tuple(x.tolist() for x in got) == library(sp, text), (name, text)
+        assert tuple(x.tolist() for x in own.encode([text])[0]) == library(sp, text)
         assert own.normalise(text)[0].decode() == sp.normalize(text)
 
 
@@ -162,13 +162,16 @@ def test_long_texts_in_slices_and_a_small_memory(monkeypatch):
     sp, own = sentencepiece.SentencePieceProcessor(model_file=piece_path()), pieces.Model(piece_path())
     long = " ".join(texts()) + " ▁ a  b" * 30
     assert len(list(own.slices(long))) > 100 and "".join(own.slices(long)) == long
-    assert tuple(x.tolist() for x in own.encode(long)) == library(sp, long)
+    assert tuple(x.tolist() for x in own.encode([long])[0]) == library(sp, long)
+    for part in (1, 60, 400):  # parts of few texts, parts that end inside a text
+        monkeypatch.setattr(pieces, "PART_BYTES", part)
+        assert [tuple(x.tolist() for x in f) for f in own.encode([long, "", "a b", long[:300]])] == [library(sp, t) for t in (long, "", "a b", long[:300])]
 
 
 def test_spans_give_back_the_text(models):
     own = pieces.Model(models["nmt_nfkc"])
     for text in texts():
-        ids, begins, ends = own.encode(text)
+        _, begins, ends = own.encode([text])[0]
         raw, at = text.encode(), 0
         for b, e in zip(begins.tolist(), ends.tolist()):
             assert at <= b <= e <= len(raw)  # ranges ascend, and none overlaps the one before
