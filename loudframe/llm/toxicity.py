@@ -21,8 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loudframe.llm.common import split_words, stored
+from loudframe.llm.common import split_words, stored, text_parts
 
+#: Bytes of text that a worker cuts into words at a time.
+PART_BYTES = 4 << 20
 #: Labelled documents that the field is fitted on, chosen by a hash of the id.
 MAX_LABELLED = 10_000
 MAX_LEXICON = 20_000
@@ -43,6 +45,12 @@ def features_of(word: str) -> list[str]:
     return [f"w:{word}", *(f"p{k}:{word[:k]}" for k in PREFIXES if len(word) >= k)] if word else []
 
 
+def _parts(batches: Iterator[pa.RecordBatch], column: str | int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of bounded text, so that a worker's memory doesn't follow the size of a batch."""
+    for batch in batches:
+        yield from text_parts(batch, batch.schema.get_field_index(column) if isinstance(column, str) else column, PART_BYTES)
+
+
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Word borders of each text, each word's number, and the distinct words. A null text has none."""
     words, sizes = split_words(texts, lower=False)
@@ -52,7 +60,7 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(feature, toxic, clean): in how many documents of a batch each feature occurs."""
-    for batch in batches:
+    for batch in _parts(batches, "text"):
         borders, codes, words = _tokens(batch.column("text"))
         names: dict[str, int] = {}
         own = [[names.setdefault(f, len(names)) for f in features_of(w)] for w in words]
@@ -81,7 +89,7 @@ def _feature_table(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
 def _windows_of(lexicon: dict[str, int], strong: np.ndarray):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width, none = 1 + len(PREFIXES), len(lexicon)
-        for batch in batches:
+        for batch in _parts(batches, "text"):
             texts = batch.column("text")
             borders, codes, words = _tokens(texts)
             table = _feature_table(words, lexicon)
@@ -224,7 +232,7 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarr
 
 def _summaries(model: dict):
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, "text"):
             borders, codes, words = _tokens(batch.column("text"))
             doc, _, m = _marginals(model, _feature_table(words, model["lexicon"]), codes, borders)
             x = _summary(doc, m, np.diff(borders))
@@ -277,7 +285,7 @@ def score(docs: DataFrame, model: dict, columns: tuple[str, ...] = ("doc_id",),
     """
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = model["lexicon"]
-        for batch in batches:
+        for batch in _parts(batches, len(columns)):
             texts = batch.column(batch.num_columns - 1)
             borders, codes, words = _tokens(texts)
             doc, at, m = _marginals(model, _feature_table(words, lexicon), codes, borders)
@@ -304,7 +312,7 @@ def drop_toxic(docs: DataFrame, model: dict, text_col: str = "text", threshold:
     at = docs.columns.index(text_col)
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, at):
             borders, codes, words = _tokens(batch.column(at))
             doc, _, m = _marginals(model, _feature_table(words, model["lexicon"]), codes, borders)
             p = 1 / (1 + np.exp(-np.clip(_summary(doc, m, np.diff(borders)) @ model["score"], -30, 30)))
