@@ -11,6 +11,7 @@ from loudframe.functions.report import status_of
 from loudframe.operators import frames as FR
 from loudframe.operators import loudness as LO
 from loudframe.plans import reports as RP
+from loudframe.session import fresh_path
 from loudframe.sources import sinks as SK
 
 _STATUS = """
@@ -49,6 +50,26 @@ def json_sink(spark, sf_dir):
     return SK.json_rows(rows)
 
 
+@contract(f"""
+WITH {_STATUS}
+SELECT '{{"file":"' || doc_id || '","status":"' || status || '"' || CASE WHEN error IS NULL THEN '' ELSE ',"error":"' || error || '"' END || '}}' AS value,
+       CAST(doc_id AS VARCHAR) = (SELECT min(CAST(doc_id AS VARCHAR)) FROM s) AS opens
+FROM s
+UNION ALL SELECT '{{"files":[', FALSE UNION ALL SELECT '],"albums":[', FALSE UNION ALL SELECT '],', FALSE
+UNION ALL SELECT '{{"source":"' || source || '","files":' || count(*) || '}}', source = (SELECT min(source) FROM s) FROM s GROUP BY source
+UNION ALL SELECT '"summary":{{"total_files":' || count(*) || ',"successful":' || count(*) FILTER (WHERE status = 'success') || ',"failed":'
+       || count(*) FILTER (WHERE status = 'error') || '}}}}', FALSE FROM s""")
+def json_document_parts(spark, sf_dir):
+    """The lines of one JSON document over many parts; every row but the first of a list brings its comma."""
+    rows = _statuses(spark, sf_dir)
+    files = rows.select(F.col("doc_id").cast("string").alias("file"), "status", "error")
+    sources = rows.groupBy("source").agg(F.count(F.lit(1)).alias("files"))
+    target = f"{fresh_path(spark, 'document')}/json"
+    SK.write_json_document(files, RP.batch_summary(rows), target, album=sources, rows_per_part=100)
+    opens = F.col("value").startswith("{") & ~F.col("value").startswith('{"files":[')
+    return spark.read.text(target).select(F.regexp_replace("value", "^,", "").alias("value"), opens.alias("opens"))
+
+
 @contract(f"WITH {_STATUS} SELECT doc_id, status, error FROM s")
 def report_json(spark, sf_dir):
     """There and back: rows to JSON text and from JSON text."""

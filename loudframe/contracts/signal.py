@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loudframe import constants as C
 from loudframe.contracts.roles import (
     ALBUMS, HISTOGRAM, KEYS, PER_WINDOW, SAMPLES, STEPS, TRACKS, WINDOWS, contract, indexed_samples, level_sql, packets,
-    table, windows,
+    samples, table, windows,
 )
 from loudframe.functions import levels as L
 from loudframe.operators import filtering as FI
@@ -15,6 +15,8 @@ from loudframe.operators import histogram as H
 from loudframe.operators import loudness as LO
 from loudframe.operators import ordered as O
 from loudframe.operators import windows as W
+from loudframe.operators.level_store import LevelStore, levels
+from loudframe.session import fresh_path
 from loudframe.sources import packets as PK
 
 # --- scalar level functions on events ------------------------------------------------------
@@ -275,6 +277,31 @@ def join_album(spark, sf_dir):
     return joined.select(*KEYS, "loudness_db", "album_loudness_db", "album_peak")
 
 
+# --- levels that follow their tracks: three users' values are raised ------------------------------
+
+_RAISED = "CASE WHEN user_id IN (1, 2, 3) THEN 777 ELSE 0 END"
+_CHANGED = ALBUMS.replace("CAST(round(value * 100) AS BIGINT) AS v", f"CAST(round(value * 100) AS BIGINT) + {_RAISED} AS v")
+
+
+@contract(f"""
+WITH {_CHANGED}
+SELECT 'track' AS level, album, track, windows, loudness_db, {STEPS.format('loudness_db')} AS gain_steps, CAST(peak AS DOUBLE) AS peak FROM t
+UNION ALL SELECT 'album', album, NULL, windows, loudness_db, {STEPS.format('loudness_db')}, CAST(peak AS DOUBLE) FROM a""")
+def replace_tracks(spark, sf_dir):
+    """Three tracks of a stored level table are measured anew; their albums follow, and the batch comes twice."""
+    whole = H.loudness_bins(windows(spark, sf_dir), KEYS)
+    store = LevelStore(spark, fresh_path(spark, "levels"))
+    store.put(whole, 0)
+    three = samples(spark, sf_dir).where("track IN (1, 2, 3)").withColumn("v", F.col("v") + 777)
+    placed = O.sample_index(three, KEYS, ["ts", "event_id"], O.time_blocks("ts", 6 * 3600))
+    again = H.loudness_bins(W.window_sums(placed, KEYS, F.col("n"), PER_WINDOW, F.col("v")), KEYS)
+    for _ in range(2):
+        store.put(again, 1)
+    tracks = levels(store.tracks(), KEYS).withColumn("level", F.lit("track"))
+    albums = levels(store.albums(), ["album"]).withColumns({"level": F.lit("album"), "track": F.lit(None).cast("bigint")})
+    return tracks.unionByName(albums).select("level", *KEYS, "windows", "loudness_db", "gain_steps", "peak")
+
+
 _FAILED = "track % 50 = 7"
 
 
@@ -352,23 +379,29 @@ def _numbers(values) -> str:
     return "[" + ", ".join(f"{float(v)!r}::DOUBLE" for v in values) + "]"
 
 
-_FEEDBACK, _FORWARD = C.SHAPING_FILTERS[44100]
-_HP_FEEDBACK, _HP_FORWARD = C.high_pass_weights(44100)
 _ZERO10, _ZERO2 = _numbers([0] * 10), _numbers([0] * 2)
-# The recursion sample by sample: histories of ten inputs and outputs, then of two.
-FILTERED = f"""
-RECURSIVE x AS (SELECT label AS track, list(v::DOUBLE * 32768e0 ORDER BY vec_id, pos) AS a, count(*) AS len
-      FROM (SELECT label, vec_id, unnest(embedding) AS v, unnest(range(1, 65)) AS pos FROM embeddings) GROUP BY label),
-r AS (SELECT track, 0::BIGINT AS i, {_ZERO10} AS xs, {_ZERO10} AS ys, {_ZERO2} AS us, {_ZERO2} AS zs FROM x
+
+
+def filtered_sql(name: str, rate: int, where: str = "TRUE", recursive: bool = False) -> str:
+    """CTEs up to z_name (track, n, z): the recursion sample by sample, with histories of ten inputs and outputs, then of two."""
+    feedback, forward = C.SHAPING_FILTERS[rate]
+    hp_feedback, hp_forward = C.high_pass_weights(rate)
+    return f"""
+{'RECURSIVE ' if recursive else ''}x_{name} AS (SELECT label AS track, list(v::DOUBLE * 32768e0 ORDER BY vec_id, pos) AS a, count(*) AS len
+      FROM (SELECT label, vec_id, unnest(embedding) AS v, unnest(range(1, 65)) AS pos FROM embeddings WHERE {where}) GROUP BY label),
+r_{name} AS (SELECT track, 0::BIGINT AS i, {_ZERO10} AS xs, {_ZERO10} AS ys, {_ZERO2} AS us, {_ZERO2} AS zs FROM x_{name}
       UNION ALL
       SELECT track, i + 1, list_prepend(v, xs[1:9]), list_prepend(y, ys[1:9]), list_prepend(y, us[1:1]), list_prepend(
-             1e-10 + {_HP_FORWARD[0]!r}::DOUBLE * y + list_dot_product({_numbers(_HP_FORWARD[1:])}, us)
-                   - list_dot_product({_numbers(_HP_FEEDBACK)}, zs), zs[1:1])
+             1e-10 + {hp_forward[0]!r}::DOUBLE * y + list_dot_product({_numbers(hp_forward[1:])}, us)
+                   - list_dot_product({_numbers(hp_feedback)}, zs), zs[1:1])
       FROM (SELECT r.track, r.i, r.xs, r.ys, r.us, r.zs, x.a[r.i + 1] AS v,
-                   1e-10 + {_FORWARD[0]!r}::DOUBLE * x.a[r.i + 1] + list_dot_product({_numbers(_FORWARD[1:])}, r.xs)
-                         - list_dot_product({_numbers(_FEEDBACK)}, r.ys) AS y
-            FROM r JOIN x ON r.track = x.track AND r.i < x.len)),
-z AS (SELECT track, i - 1 AS n, zs[1] AS z FROM r WHERE i > 0)"""
+                   1e-10 + {forward[0]!r}::DOUBLE * x.a[r.i + 1] + list_dot_product({_numbers(forward[1:])}, r.xs)
+                         - list_dot_product({_numbers(feedback)}, r.ys) AS y
+            FROM r_{name} AS r JOIN x_{name} AS x ON r.track = x.track AND r.i < x.len)),
+z_{name} AS (SELECT track, i - 1 AS n, zs[1] AS z FROM r_{name} WHERE i > 0)"""
+
+
+FILTERED = filtered_sql("all", 44100, recursive=True) + ", z AS (FROM z_all)"
 
 
 @contract(f"WITH {FILTERED} SELECT track, n // 64 AS chunk, round(sum(z * z), 0) AS energy, round(max(abs(z)), 3) AS top FROM z GROUP BY ALL")
@@ -411,9 +444,7 @@ SELECT track, n // 2205 AS window_no, count(*) AS samples, round(sum(2e0 * v * v
 FROM x GROUP BY ALL""")
 def packet_window_sums(spark, sf_dir):
     """Unfiltered windows straight from packets, 50 ms at the packets' own rate."""
-    rows = W.explode_packets(O.packet_offsets(packets(spark, sf_dir)))
-    per_window = L.window_samples(F.col("sample_rate"))
-    sums = W.window_sums(rows, ["track"], F.col("n"), per_window, F.col("left"), F.col("right"))
+    sums = W.packet_window_sums(O.packet_offsets(packets(spark, sf_dir)), ["track"])
     return sums.select(
         "track", "window_no", "samples", F.round(F.col("sum_squares") / 1e6, 3).alias("energy"), F.round("peak", 6).alias("peak")
     )

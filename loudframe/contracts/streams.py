@@ -63,20 +63,34 @@ class _Replay:
         return _replay(self._spark, folder, name.removesuffix(".parquet"))
 
 
+def _filtered_live(spark, windows):
+    target = fresh_path(spark, "stream-filter")
+    with SF.state_store(spark):
+        (
+            windows.writeStream.format("parquet").outputMode("append").option("path", f"{target}/table")
+            .option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        )
+    return spark.read.parquet(f"{target}/table")
+
+
+@contract(f"""
+WITH {FILTERED}
+SELECT track, n // 2205 AS window_no, count(*) AS samples, round(sum(2e0 * z * z) / 1e6) AS energy FROM z GROUP BY ALL""")
+def stream_filter_ends(spark, sf_dir):
+    """All windows of tracks that end: the short last one comes out with the marked last packet."""
+    ends = packets(spark, sf_dir).groupBy("track").agg(F.max("packet_no").alias("end_no"))
+    rows = packets(_Replay(spark), sf_dir).join(ends, "track").withColumn("is_end", F.col("packet_no") == F.col("end_no"))
+    live = _filtered_live(spark, SF.stream_filter(rows, ends="is_end"))
+    return live.select("track", "window_no", "samples", F.round(F.col("sum_squares") / 1e6).alias("energy"))
+
+
 @contract(f"""
 WITH {FILTERED}
 SELECT track, n // 2205 AS window_no, count(*) AS samples, round(sum(2e0 * z * z) / 1e6) AS energy, TRUE AS same_as_batch
 FROM z GROUP BY ALL HAVING count(*) = 2205""")
 def stream_filter(spark, sf_dir):
     """Complete 50 ms windows of the filtered packets, equal to the batch result."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", SF.PROVIDER)
-    rows = packets(_Replay(spark), sf_dir)
-    target = fresh_path(spark, "stream-filter")
-    (
-        SF.stream_filter(rows).writeStream.format("parquet").outputMode("append").option("path", f"{target}/table")
-        .option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    )
-    live = spark.read.parquet(f"{target}/table").select("track", "window_no", "sum_squares", "samples")
+    live = _filtered_live(spark, SF.stream_filter(packets(_Replay(spark), sf_dir))).select("track", "window_no", "sum_squares", "samples")
     batch = FI.filter_window_sums(packets(spark, sf_dir)).select(
         "track", "window_no", F.col("sum_squares").alias("batch_sum")
     )

@@ -65,13 +65,25 @@ def loudness_rollup(hist: DataFrame, album: str = "album", track: str = "track")
     return track_levels(named, ["level", album, track])
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on keys where NULL is a key like any other; each key column comes out once."""
+    other = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    met = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    joined = left.join(other, met, how)
+    if how in ("left_semi", "left_anti"):
+        return joined
+    if how == "full":  # a row without a left side has its keys on the right; where both exist they agree
+        joined = joined.withColumns({k: F.coalesce(k, f"__r_{k}") for k in keys})
+    return joined.drop(*[f"__r_{k}" for k in keys])
+
+
 def join_album(tracks: DataFrame, albums: DataFrame, album: Sequence[str]) -> DataFrame:
     """Every track with the levels of its album.
 
     Adaptive execution broadcasts the album side only when its real size is small, and
     splits the partition of an album that holds a large part of all tracks otherwise.
     """
-    return tracks.join(albums, list(album), "left")
+    return join_null_safe(tracks, albums, list(album))
 
 
 def fail_fast_albums(tracks: DataFrame, albums: DataFrame, album: Sequence[str],
@@ -84,7 +96,7 @@ def fail_fast_albums(tracks: DataFrame, albums: DataFrame, album: Sequence[str],
         F.count_if(F.col("error").isNotNull()).alias("failed"),
         F.min("error").alias("error"),
     )
-    joined = state.join(albums, list(album), "left")
+    joined = join_null_safe(state, albums, list(album))
     if mode == "permissive":
         return joined
     values = [c for c in albums.columns if c not in album]

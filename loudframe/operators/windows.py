@@ -53,6 +53,36 @@ def window_mean_square(samples: DataFrame, keys: Sequence[str], position: Column
     )
 
 
+def packet_window_sums(packets: DataFrame, keys: Sequence[str] = ("album", "track")) -> DataFrame:
+    """A3 on packets that carry ``first_sample``: 50 ms window sums at each packet's own rate.
+
+    A packet is cut at the window borders and summed inside its row, so as many rows as windows
+    it touches are shuffled, not one per sample. A packet without samples touches none.
+    """
+    per_window = L.window_samples(F.col("sample_rate"))
+    size = F.size("left")
+    usable = packets.where((size > 0) & (per_window > 0))
+    first, last = L.int_div(F.col("first_sample"), per_window), L.int_div(F.col("first_sample") + size - 1, per_window)
+    scaled = usable.select(
+        *keys, "first_sample", per_window.cast("bigint").alias("__per"), size.cast("bigint").alias("__size"),
+        L.scale_samples(F.col("left"), F.col("format")).alias("__left"), L.scale_samples(F.col("right"), F.col("format")).alias("__right"),
+        F.sequence(first, last).alias("__windows"))
+
+    def part(window: Column) -> Column:
+        start = F.greatest(window * F.col("__per") - F.col("first_sample"), F.lit(0).cast("bigint"))
+        stop = F.least((window + 1) * F.col("__per") - F.col("first_sample"), F.col("__size"))
+        cut = lambda side: F.slice(side, (start + 1).cast("int"), (stop - start).cast("int"))
+        energy = lambda side: F.aggregate(cut(side), F.lit(0.0), lambda a, x: a + x * x)
+        top = lambda side: F.aggregate(cut(side), F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
+        left, right = F.col("__left"), F.col("__right")
+        # A mono packet counts for both channels.
+        return F.struct(window.alias("window_no"), (energy(left) + F.when(right.isNull(), energy(left)).otherwise(energy(right))).alias("sum_squares"),
+                        (stop - start).alias("samples"), F.greatest(top(left), F.when(right.isNull(), 0.0).otherwise(top(right))).alias("peak"))
+
+    parts = scaled.select(*keys, F.explode(F.transform("__windows", part)).alias("w")).select(*keys, "w.*")
+    return merge_window_sums(parts, keys)
+
+
 def explode_packets(packets: DataFrame, keys: Sequence[str] = ("album", "track")) -> DataFrame:
     """One row per sample of packets that carry ``first_sample``, scaled to the 16-bit range."""
     scaled = packets.select(

@@ -7,11 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loudframe.functions import gains as G
 from loudframe.functions import levels as L
+from loudframe.operators.frames import NO_FRAMES
+from loudframe.operators.ledger import UNDO, current_entries, ledger_state
+from loudframe.operators.loudness import join_null_safe
+from loudframe.session import durable
+from loudframe.streaming.store import MergedTable
 
 MONO_ERROR = "Cannot apply channel-specific gain to mono file. Use -g for mono files."
 NO_TAG_ERROR = "No APE tag found - cannot undo"
@@ -110,9 +115,25 @@ def ledger_entries(requests: DataFrame, stats: DataFrame, ts: Column, id_: Colum
     )
 
 
-def append_ledger(entries: DataFrame, target: str) -> None:
-    """Append entries to the ledger table (parquet)."""
-    entries.write.mode("append").parquet(target)
+def append_ledger(entries: DataFrame, target: str, batch_id: int | None = None, writer: str = "") -> bool:
+    """Append entries to the ledger table (parquet); False if the batch is in it already.
+
+    With a ``batch_id``, which grows from batch to batch of a ``writer``, a retried append counts once: rows are
+    written under a new name and count from the moment a manifest names them. Read with ``read_ledger``.
+    """
+    if batch_id is None:
+        entries.write.mode("append").parquet(target)
+        return True
+    return _ledger_table(entries.sparkSession, target).add(entries, batch_id, writer)
+
+
+def _ledger_table(spark: SparkSession, target: str) -> MergedTable:
+    return MergedTable(spark, target, lambda rows: rows, every=None)
+
+
+def read_ledger(spark: SparkSession, target: str) -> DataFrame:
+    """The entries of all batches that ``append_ledger`` has counted."""
+    return _ledger_table(spark, target).read()
 
 
 def undo_plan(plan: DataFrame) -> DataFrame:
@@ -132,6 +153,44 @@ def undo_requests(files: DataFrame, undo: DataFrame, path: str = "path") -> Data
     return rows.withColumn("status", status).drop("has_tag", "undo")
 
 
+def undo_run(files: DataFrame, ledger: DataFrame, stats: DataFrame, ts: Column, id_: Column, *, tagged: DataFrame | None = None,
+             dry_run: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Take back what the ledger has recorded since each file's last undo.
+
+    Returns result rows (file, status, frames, error, dry_run), requests (path, steps) for ``plan_gain``, and the
+    ledger entries that open the next epoch. A file whose undo value is zero is skipped and stays as it is.
+    ``tagged`` has the paths that carry other tags, which only changes the words of the error. A dry run looks
+    at nothing and records nothing.
+    """
+    if dry_run:
+        rows = files.select(F.col("path").alias("file"), F.lit("dry_run").alias("status"), F.lit(None).cast("bigint").alias("frames"),
+                            F.lit(None).cast("string").alias("error"), F.lit(True).alias("dry_run"))
+        nothing = files.select("path", F.lit(0).alias("steps")).where(F.lit(False))
+        return rows, nothing, _undo_entries(nothing, ts, id_)
+    state = ledger_state(current_entries(ledger)).where("left_undo IS NOT NULL").select("path", F.col("left_undo").alias("__undo"))
+    rows = join_null_safe(join_null_safe(files.select("path"), state, ["path"]), stats.select("path", "frames"), ["path"])
+    other = F.lit(False)
+    if tagged is not None:
+        rows = join_null_safe(rows, tagged.select("path", F.lit(True).alias("__tagged")).distinct(), ["path"])
+        other = F.coalesce("__tagged", F.lit(False))
+    error = (F.when(F.col("__undo").isNull(), F.when(other, NO_UNDO_ERROR).otherwise(NO_TAG_ERROR))
+             .when((F.col("__undo") != 0) & F.col("frames").isNull(), NO_FRAMES))
+    rows = durable(rows.withColumn("error", error).withColumn(
+        "status", F.when(F.col("error").isNotNull(), "error").when(F.col("__undo") == 0, "skipped").otherwise("success")))
+    report = rows.select(
+        F.col("path").alias("file"), "status",
+        F.when(F.col("status") == "success", F.col("frames")).when(F.col("status") == "skipped", 0).cast("bigint").alias("frames"),
+        "error", F.lit(None).cast("boolean").alias("dry_run"))
+    requests = rows.where("status = 'success'").select("path", (-F.col("__undo")).cast("int").alias("steps"))
+    return report, requests, _undo_entries(requests, ts, id_)
+
+
+def _undo_entries(requests: DataFrame, ts: Column, id_: Column) -> DataFrame:
+    none = F.lit(None).cast("int")
+    return requests.select("path", ts.alias("ts"), id_.cast("bigint").alias("id"), none.alias("channel"), "steps", F.lit(False).alias("wrap"),
+                           none.alias("min_gain"), none.alias("max_gain"), F.lit(UNDO).alias("event"))
+
+
 def apply_plan(gains: DataFrame, plan: DataFrame, on: Sequence[str] = ("path", "frame_no", "gr", "ch")) -> DataFrame:
     """The gain table after a plan; fields without a patch stay as they are."""
     patched = gains.join(plan.select(*on, "new"), list(on), "left")

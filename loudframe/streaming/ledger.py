@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loudframe.functions import tags as T
+from loudframe.streaming.store import MergedTable
 
 
 def stream_ledger(stream: DataFrame, keys: Sequence[str] = ("path",), order: Sequence[str] = ("ts", "id")) -> DataFrame:
@@ -21,11 +22,22 @@ def stream_ledger(stream: DataFrame, keys: Sequence[str] = ("path",), order: Seq
     )
 
 
-def write_state(state: DataFrame, target: str, checkpoint: str):
-    """Store the files that changed in each batch; a repeated batch overwrites itself."""
+def state_table(spark: SparkSession, keys: Sequence[str], target: str, every: int = 8) -> MergedTable:
+    """The stored state: of each file the row of its latest batch."""
+    def latest(rows: DataFrame) -> DataFrame:
+        values = [c for c in rows.columns if c not in (*keys, "batch")]
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"), F.max("batch").alias("batch"))
+        return newest.select(*keys, "v.*", "batch")
+
+    return MergedTable(spark, target, latest, every)
+
+
+def write_state(state: DataFrame, target: str, checkpoint: str, keys: Sequence[str] = ("path",), every: int = 8):
+    """Store the files that changed in each batch; a repeated batch does not count twice."""
+    table = state_table(state.sparkSession, keys, target, every)
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        table.add(batch.withColumn("batch", F.lit(batch_id).cast("bigint")), batch_id, writer=checkpoint)
 
     return (
         state.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
@@ -35,7 +47,4 @@ def write_state(state: DataFrame, target: str, checkpoint: str):
 
 def read_state(spark: SparkSession, keys: Sequence[str], target: str) -> DataFrame:
     """The latest row per file."""
-    rows = spark.read.parquet(target)
-    values = [c for c in rows.columns if c not in (*keys, "batch")]
-    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
-    return latest.select(*keys, "v.*")
+    return state_table(spark, keys, target).read().drop("batch")

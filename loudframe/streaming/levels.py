@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loudframe.operators.histogram import loudness_bins, merge_histograms
+from loudframe.streaming.store import MergedTable
 
 
 def stream_windows(stream: DataFrame, keys: Sequence[str], ts: str, left: Column, right: Column | None = None,
@@ -25,15 +26,21 @@ def stream_windows(stream: DataFrame, keys: Sequence[str], ts: str, left: Column
     )
 
 
-def write_histogram(windows: DataFrame, keys: Sequence[str], target: str, checkpoint: str):
+def histogram_table(spark: SparkSession, keys: Sequence[str], target: str, every: int = 8) -> MergedTable:
+    """The stored histogram: batches are added up."""
+    return MergedTable(spark, target, lambda rows: merge_histograms(rows, keys), every)
+
+
+def write_histogram(windows: DataFrame, keys: Sequence[str], target: str, checkpoint: str, every: int = 8):
     """Add the final windows of each batch to a histogram table.
 
-    Each batch overwrites its own folder, so a repeated batch does not count twice; reading
-    adds the folders up (``read_histogram``).
+    A repeated batch does not count twice, and reading (``read_histogram``) opens one snapshot and
+    ``every`` deltas at most.
     """
+    table = histogram_table(windows.sparkSession, keys, target, every)
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        loudness_bins(batch, keys).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        table.add(loudness_bins(batch, keys), batch_id, writer=checkpoint)
 
     return (
         windows.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
@@ -42,4 +49,4 @@ def write_histogram(windows: DataFrame, keys: Sequence[str], target: str, checkp
 
 
 def read_histogram(spark: SparkSession, keys: Sequence[str], target: str) -> DataFrame:
-    return merge_histograms(spark.read.parquet(target), keys)
+    return histogram_table(spark, keys, target).read()

@@ -69,3 +69,66 @@ def test_ledger_stream(spark, tmp_path):
     got = {r.path: (r.undo, r.entries, r.minmax) for r in SLE.read_state(spark, ["path"], str(tmp_path / "state")).collect()}
     want = {r.path: (r.left_undo, r.entries, r.minmax) for r in LE.ledger_state(df).collect()}
     assert got == want == {"a": (1, 3, "1,2"), "b": (8, 2, "3,4")}
+
+
+def _tracks(spark, noise, tracks, ends=True):
+    rows = [("al", t, i, 44100, "F32", [float(v) for v in noise[at:at + 1000]], None, ends and at + 1000 >= len(noise))
+            for t in tracks for i, at in enumerate(range(0, len(noise), 1000))]
+    return spark.createDataFrame(rows, "album string, track string, packet_no bigint, sample_rate int, format string, left array<double>, right array<double>, is_end boolean")
+
+
+def test_a_marked_end_brings_out_the_last_window_and_clears_the_state(spark, tmp_path):
+    noise = np.random.default_rng(2).normal(size=7000) * 0.1
+    table = _tracks(spark, noise, ("a", "b"))
+    table.where("packet_no < 4").coalesce(1).write.parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
+        with SF.state_store(spark):
+            query = (SF.stream_filter(stream, ends="is_end").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+                     .option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start())
+            query.awaitTermination()
+        return [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    assert run()[-1] == 2
+    table.where("packet_no >= 4").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert run()[-1] == 0
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    got = {(r.track, r.window_no): r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {(r.track, r.window_no): r for r in FI.filter_window_sums(O.packet_offsets(table)).collect()}
+    assert set(got) == set(want) and {r.samples for r in got.values()} == {2205, 7000 % 2205}
+    assert all(got[k].sum_squares == pytest.approx(want[k].sum_squares, rel=1e-9) and got[k].peak == want[k].peak for k in want)
+
+
+def test_a_silent_track_ends_by_the_clock(spark, tmp_path):
+    import time
+
+    noise = np.random.default_rng(3).normal(size=3000) * 0.1
+    table = _tracks(spark, noise, ("a",), ends=False)
+    table.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
+    with SF.state_store(spark):
+        query = (SF.stream_filter(stream, idle_seconds=2).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+                 .option("checkpointLocation", str(tmp_path / "mark")).trigger(processingTime="1 second").start())
+        deadline = time.time() + 60
+        while time.time() < deadline:
+            time.sleep(1)
+            out = [r for r in spark.read.schema("window_no bigint, samples bigint").parquet(str(tmp_path / "out")).collect()] if (tmp_path / "out").exists() else []
+            if len(out) == 2:
+                break
+        query.stop()
+    assert sorted((r.window_no, r.samples) for r in out) == [(0, 2205), (1, 795)]
+    assert [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators][-1] == 0
+
+
+def test_a_hundred_batches_leave_few_folders(spark, tmp_path):
+    keys, target = ["track"], str(tmp_path / "hist")
+    table = SL.histogram_table(spark, keys, target, every=10)
+    for i in range(100):
+        rows = spark.createDataFrame([("t", i % 4, 1, float(i))], "track string, bin int, cnt long, peak double").coalesce(1)
+        table.add(rows, i, writer="x")
+    table.add(rows, 99, writer="x")
+    assert len(table.manifest().folders) <= 11
+    got = {r.bin: (r.cnt, r.peak) for r in SL.read_histogram(spark, keys, target).collect()}
+    assert got == {b: (25, 96.0 + b) for b in range(4)}
