@@ -33,11 +33,13 @@ from loudframe.llm.common import split_words, stored, text_parts
 HIDDEN, CLASS_SIZE, CLASSES, OPEN = 16, 32, 32, 32
 #: Words whose counts travel to the workers.
 FREQUENT = 131_072
-ROUNDS, LANES, WINDOW, RATE = 6, 32, 16, 0.01
+ROUNDS, WINDOW, RATE = 6, 16, 0.01
+#: Texts that a fitting task follows side by side: as many as get LANE_WORDS each, within these bounds.
+LEAST_LANES, MOST_LANES, LANE_WORDS = 32, 256, 2_000
 #: Text handled at a time in a worker.
 PART_BYTES = 6 << 20
 #: Fitting tasks get about this many words a round.
-TASK_WORDS = 60_000
+TASK_WORDS = 500_000
 END = ""
 LOG10 = float(np.log(10))
 
@@ -154,6 +156,48 @@ def _outputs(p: dict, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -
     return out, back
 
 
+def _window(p: dict, h: np.ndarray, reads: np.ndarray, x: np.ndarray, new: np.ndarray) -> tuple[dict, np.ndarray]:
+    """Gradients of the lanes' negative log-probability over one window, and the states at its end.
+
+    Rows are steps, columns lanes: ``reads`` are the words read before each step, ``x`` the words to be
+    told, ``new`` marks the first word of a document, whose state starts anew. States that come into the window are constants.
+    """
+    trace = []
+    for read, first in zip(reads, new):
+        h = h * ~first[:, None]
+        g = p["x"][read] + p["b"]
+        gates = _sigmoid(g[:, :2 * HIDDEN] + h @ p["u"])
+        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
+        n = np.tanh(g[:, 2 * HIDDEN:] + (r * h) @ p["s"])
+        trace.append((h, z, r, n))
+        h = h + z * (n - h)
+    states = np.concatenate([prev + z * (n - prev) for prev, z, _, n in trace])
+    grads: dict = {}
+    _, back = _outputs(p, states, x.ravel(), grads)
+    back = back.reshape(*x.shape, HIDDEN)
+    for k in ("x", "u", "s"):
+        grads[k] = np.zeros_like(p[k])
+    inputs = np.empty((*x.shape, 3 * HIDDEN), h.dtype)
+    dh = np.zeros_like(h)
+    for t in reversed(range(len(x))):
+        prev, z, r, n = trace[t]
+        dh = dh + back[t]
+        dn = dh * z * (1 - n * n)
+        drh = dn @ p["s"].T
+        d = np.concatenate([dh * (n - prev) * z * (1 - z), drh * prev * r * (1 - r)], axis=1)
+        grads["s"] += (r * prev).T @ dn
+        grads["u"] += prev.T @ d
+        inputs[t] = np.concatenate([d, dn], axis=1)
+        dh = (dh * (1 - z) + drh * r + d @ p["u"].T) * ~new[t][:, None]
+    # Gradients of a word that was read several times are added up in order of the words.
+    words, inputs = reads.ravel(), inputs.reshape(-1, 3 * HIDDEN)
+    order = np.argsort(words, kind="stable")
+    starts = np.flatnonzero(np.append(True, np.diff(words[order]) > 0))
+    grads["x"][words[order[starts]]] = np.add.reduceat(inputs[order], starts)
+    grads["b"] = inputs.sum(axis=0)
+    return grads, h
+
+
 def _train(p: dict, docs: list[np.ndarray]) -> tuple[dict, int]:
     """One pass with truncated backpropagation: lanes read documents one after another, states start anew with each."""
     p = {k: v.astype(np.float32) for k, v in p.items()}
@@ -161,49 +205,21 @@ def _train(p: dict, docs: list[np.ndarray]) -> tuple[dict, int]:
     flat = np.concatenate(docs)
     fresh = np.zeros(len(flat), bool)
     fresh[np.cumsum([0, *(len(d) for d in docs[:-1])])] = True
-    steps = max(1, len(flat) // LANES)
+    steps = max(1, len(flat) // min(MOST_LANES, max(LEAST_LANES, len(flat) // LANE_WORDS)))
     lanes = max(1, len(flat) // steps)
     x, new = flat[:lanes * steps].reshape(lanes, steps).T, fresh[:lanes * steps].reshape(lanes, steps).T.copy()
     new[0] = True
-    h, before, done = np.zeros((lanes, HIDDEN), np.float32), np.zeros(lanes, np.int64), 0
+    # The state before a document's first word has read its end mark.
+    reads = np.where(new, 0, np.concatenate([np.zeros((1, lanes), np.int64), x[:-1]]))
+    h, done = np.zeros((lanes, HIDDEN), np.float32), 0
     for lo in range(0, steps, WINDOW):
-        hi = min(steps, lo + WINDOW)
-        trace = []
-        for t in range(lo, hi):
-            # The state before a document's first word has read its end mark.
-            read = np.where(new[t], 0, x[t - 1] if t else before)
-            h = h * ~new[t][:, None]
-            g = p["x"][read] + p["b"]
-            gates = _sigmoid(g[:, :2 * HIDDEN] + h @ p["u"])
-            z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-            n = np.tanh(g[:, 2 * HIDDEN:] + (r * h) @ p["s"])
-            trace.append((read, h, z, r, n, new[t]))
-            h = h + z * (n - h)
-        states = np.concatenate([a[1] + a[2] * (a[4] - a[1]) for a in trace])
-        grads: dict = {}
-        _, back = _outputs(p, states, x[lo:hi].ravel(), grads)
-        back = back.reshape(hi - lo, lanes, HIDDEN)
-        for k in ("x", "u", "s", "b"):
-            grads[k] = np.zeros_like(p[k])
-        dh = np.zeros_like(h)
-        for t in reversed(range(hi - lo)):
-            read, prev, z, r, n, first = trace[t]
-            dh = dh + back[t]
-            dn = dh * z * (1 - n * n)
-            drh = dn @ p["s"].T
-            d = np.concatenate([dh * (n - prev) * z * (1 - z), drh * prev * r * (1 - r)], axis=1)
-            grads["s"] += (r * prev).T @ dn
-            grads["u"] += prev.T @ d
-            full = np.concatenate([d, dn], axis=1)
-            np.add.at(grads["x"], read, full)
-            grads["b"] += full.sum(axis=0)
-            dh = (dh * (1 - z) + drh * r + d @ p["u"].T) * ~first[:, None]
+        grads, h = _window(p, h, reads[lo:lo + WINDOW], x[lo:lo + WINDOW], new[lo:lo + WINDOW])
         done += 1
         for k, v in p.items():
-            g = np.clip(grads[k] / lanes, -5, 5)
-            m1[k] = 0.9 * m1[k] + 0.1 * g
-            m2[k] = 0.99 * m2[k] + 0.01 * g * g
-            v -= RATE * (m1[k] / (1 - 0.9**done)) / (np.sqrt(m2[k] / (1 - 0.99**done)) + 1e-6)
+            g = np.clip(grads[k] / np.float32(lanes), -5, 5)
+            m1[k] += np.float32(0.1) * (g - m1[k])
+            m2[k] += np.float32(0.01) * (g * g - m2[k])
+            v -= np.float32(RATE / (1 - 0.9**done)) * m1[k] / (np.sqrt(m2[k] * np.float32(1 / (1 - 0.99**done))) + np.float32(1e-6))
     return p, lanes * steps
 
 
@@ -254,16 +270,18 @@ def fit(docs: DataFrame, counts: DataFrame, text_col: str = "text", rounds: int
             own = [x.astype(np.int64) for b in batches for x in b["numbers"]]
             if own:
                 new, n = _train(now, own)
-                flat = np.concatenate([new[k].ravel() for k in names]).astype(np.float64) * n
-                parts = np.array_split(flat, 64)
+                # Weights are trained in single precision and travel in it; means are taken in doubles.
+                parts = np.array_split(np.concatenate([new[k].ravel() for k in names]), 64)
                 slot = TaskContext.get().partitionId() % slots
-                yield pd.DataFrame({"part": range(64), "slot": [slot] * 64, "n": [n] * 64, "sums": parts})
+                yield pd.DataFrame({"part": range(64), "slot": [slot] * 64, "n": [n] * 64, "weights": parts})
         return run
 
     def add(key, rows):
-        return pd.DataFrame({"part": [key[0]], "slot": [key[1] if len(key) > 1 else 0], "n": [int(rows["n"].sum())], "sums": [np.stack(rows["sums"].to_numpy()).sum(axis=0)]})
+        n = rows["n"].to_numpy(np.float64)
+        mean = (np.stack(rows["weights"].to_numpy()).astype(np.float64) * n[:, None]).sum(axis=0) / n.sum()
+        return pd.DataFrame({"part": [key[0]], "slot": [key[1] if len(key) > 1 else 0], "n": [int(n.sum())], "weights": [mean.astype(np.float32)]})
 
-    schema = "part int, slot int, n long, sums array<double>"
+    schema = "part int, slot int, n long, weights array<float>"
     for k in range(rounds):
         of_round = texts.where(F.col("round") == k)
         dealt = of_round.repartition(tasks, "place").sortWithinPartitions("place")
@@ -271,7 +289,7 @@ def fit(docs: DataFrame, counts: DataFrame, text_col: str = "text", rounds: int
         # In two steps, so that no task adds up the weights of all others.
         got = sums.groupBy("part", "slot").applyInPandas(add, schema).groupBy("part").applyInPandas(add, schema).collect()  # 64 rows
         if got:
-            flat = np.concatenate([np.array(r["sums"]) / r["n"] for r in sorted(got)])
+            flat = np.concatenate([np.array(r["weights"], np.float64) for r in sorted(got)])
             at = 0
             for name in names:
                 size = weights[name].size
