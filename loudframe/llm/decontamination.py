@@ -19,6 +19,8 @@ from loudframe.llm.common import lower_ascii
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
+#: Windows of a text that are looked up from one piece of it.
+SEGMENT = 256
 #: Windows up to which the table is broadcast; at about 150 bytes each it stays below 150 MB.
 BROADCAST_WINDOWS = 1_000_000
 
@@ -27,10 +29,15 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
+def _windows(words: Column, length: int) -> Column:
+    """How many windows of ``length`` words begin in a segment; its words go on for as long as the last of them needs."""
+    return F.least(F.greatest(F.size(words) - length + 1, F.lit(0)), F.lit(SEGMENT))
+
+
 def _hashes(hashes: Column, length: int) -> Column:
-    """Hash of every window of ``length`` words, in order, from the words' hashes."""
+    """Hash of every window of ``length`` words that begins in a segment, in order, from the words' hashes."""
     n = F.size(hashes)
-    one = F.transform(F.sequence(F.lit(0), n - length), lambda i: F.xxhash64(
+    one = F.transform(F.sequence(F.lit(0), F.least(n - length, F.lit(SEGMENT - 1))), lambda i: F.xxhash64(
         F.lit(length), *(F.get(hashes, i + k) for k in range(length))))
     return F.when(n >= length, one).otherwise(F.array().cast("array<bigint>"))
 
@@ -59,7 +66,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tupl
 
     ``hits`` are the occurring windows as (start, end) word positions, sorted; ``n_hit`` counts the
     words that lie in any of them; ``items`` are the sorted ids of the items they come from. A null
-    text has no words; repeated rows and null ids stay rows of their own; other columns are ignored.
+    text has no words; texts of any length are scanned whole, in segments; repeated rows and null ids stay rows of
+    their own; an empty table gives no rows and an empty benchmark no hits; other columns are ignored.
     """
     lengths = benchmark_windows(benchmark, window, item_col, item_text)
     sizes = {r[0]: r[1] for r in lengths.groupBy("w_length").count().collect()}  # at most ``window`` rows
@@ -72,20 +80,27 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tupl
 
     cut = (docs.select(*(docs[c].alias(f"__{c}") for c in keep), words_of(docs[text_col]).alias("words"))
            .withColumn("row", F.monotonically_increasing_id()))
-    hashed = cut.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    # A window's row carries the words of its segment, not those of the document: work stays in proportion to the text.
+    longest = max(lengths, default=1)
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(SEGMENT)), lambda i: F.struct(
+        i.alias("base"), F.slice("words", i + 1, SEGMENT + longest - 1).alias("words")))
+    parted = cut.select(*(f"__{c}" for c in keep), "row", F.size("words").alias("n"), F.explode(parts).alias("part"))
+    hashed = parted.select(*(f"__{c}" for c in keep), "row", "n", "part.base", "part.words").withColumn(
+        "hashes", F.transform("words", lambda w: F.xxhash64(w)))
     # The first element stands for the document itself, so that one without a hit has a row as well.
     every = F.concat(F.array(F.lit(None).cast("long")), *(_hashes(F.col("hashes"), k) for k in lengths))
-    flat = hashed.select(*(f"__{c}" for c in keep), "row", "words", F.size("words").alias("n"), F.posexplode(every).alias("at", "hash"))
+    flat = hashed.select(*(f"__{c}" for c in keep), "row", "base", "words", "n", F.posexplode(every).alias("at", "hash"))
     start, length, ahead = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(1)
     for k in lengths:
-        here = (F.col("at") >= ahead) & (F.col("at") < ahead + F.greatest(F.col("n") - k + 1, F.lit(0)))
+        here = (F.col("at") >= ahead) & (F.col("at") < ahead + _windows(F.col("words"), k))
         start, length = F.when(here, F.col("at") - ahead).otherwise(start), F.when(here, F.lit(k)).otherwise(length)
-        ahead = ahead + F.greatest(F.col("n") - k + 1, F.lit(0))
+        ahead = ahead + _windows(F.col("words"), k)
     equal = (F.col("hash") == F.col("w_hash")) & (F.col("length") == F.col("w_length")) & (
         F.array_join(F.slice("words", F.col("start") + 1, F.col("length")), " ") == F.col("w_text"))
     met = (flat.withColumns({"start": start, "length": length}).join(table, equal, "left")
-           .where("at = 0 OR w_text IS NOT NULL"))
-    hit = F.when(F.col("w_text").isNotNull(), F.struct("start", (F.col("start") + F.col("length")).alias("end"), "items"))
+           .where("at = 0 AND base = 0 OR w_text IS NOT NULL"))
+    first = F.col("base") + F.col("start")
+    hit = F.when(F.col("w_text").isNotNull(), F.struct(first.alias("start"), (first + F.col("length")).alias("end"), "items"))
     grouped = (met.select(*(f"__{c}" for c in keep), "row", "n", hit.alias("hit"))
                .groupBy("row").agg(*(F.first(f"__{c}").alias(f"__{c}") for c in keep), F.first("n").alias("n"),
                                    F.array_sort(F.collect_list("hit")).alias("found")))
