@@ -17,6 +17,8 @@ from loudframe.functions.levels import int_div
 
 #: (before, after) of each level: the digests of a node's siblings on its left and on its right.
 PROOF = "array<struct<before:binary,after:binary>>"
+#: Nodes up to which a level is one file of one task: it has some MB, and the levels above it still less.
+SMALL = 32_768
 
 
 def digest(data: Column) -> Column:
@@ -85,33 +87,40 @@ def with_siblings(nodes: DataFrame, arity: int = 2) -> DataFrame:
     return met.select(*nodes.columns, put([o for o in offsets if o < 0]).alias("before"), put([o for o in offsets if o > 0]).alias("after"))
 
 
+def _sized(level: DataFrame, nodes: int) -> DataFrame:
+    return level.coalesce(1) if nodes <= SMALL else level
+
+
 def levels(leaves: DataFrame, arity: int = 2) -> tuple[list[DataFrame], DataFrame]:
-    """The stored levels of all trees, leaves first, and the roots (tree, node).
+    """The stored levels of all trees, leaves first, and the roots (tree, node, height).
 
     ``leaves``: (tree long, n long, idx long, node binary) and further columns, which stay on the lowest level;
     ``n`` is the number of nodes of the tree. All trees climb together, and one that has come to a
     single node is done. Each level has an ``arity``-th of the nodes of the last.
     """
+    def root(level: DataFrame, height: int) -> DataFrame:
+        return level.where("n = 1").select("tree", "node", F.lit(height).alias("height"))
+
     rows = [stored(with_siblings(leaves, arity), "level")]
-    roots = rows[0].where("n = 1").select("tree", "node")
-    most = rows[0].agg(F.max("n")).first()[0] or 0
+    roots = root(rows[0], 0)
+    most, nodes, trees = rows[0].agg(F.coalesce(F.max("n"), F.lit(0)), F.count("*"), F.count_if(F.col("idx") == 0)).first()
     while most > 1:
         up = rows[-1].where((F.col("n") > 1) & (F.col("idx") % arity == 0)).select(
             "tree", F.ceil(F.col("n") / arity).alias("n"), int_div(F.col("idx"), arity).alias("idx"),
             F.unhex(digest(F.concat(hexed(F.col("node")), hexed(F.col("after"))))).alias("node"))
-        roots = roots.union(up.where("n = 1").select("tree", "node"))
-        most = -(-most // arity)
+        roots = roots.union(root(up, len(rows)))
+        most, nodes = -(-most // arity), -(-nodes // arity) + trees
         if most > 1:
-            rows.append(stored(with_siblings(up.where("n > 1"), arity), "level"))
+            rows.append(stored(_sized(with_siblings(up.where("n > 1"), arity), nodes), "level"))
     return rows, roots
 
 
 def proofs(rows: list[DataFrame], roots: DataFrame, arity: int = 2) -> DataFrame:
-    """The lowest level with ``proof`` for every leaf; ``roots`` (tree, proof) says how each tree's root goes on to the top.
+    """The lowest level with ``proof`` for every leaf; ``roots`` (tree, height, proof) says how each tree's root goes on to the top.
 
     Proofs grow from the roots down: a node's is its own siblings and its parent's.
     """
-    below = roots.select("tree", F.lit(0).cast("long").alias("idx"), "proof")
+    below = roots.select("tree", F.lit(0).cast("long").alias("idx"), "proof", "height")
     here = below
     for i, level in reversed(list(enumerate(rows))):
         up = here.select(F.col("tree").alias("__tree"), F.col("idx").alias("__idx"), "proof")
@@ -122,8 +131,9 @@ def proofs(rows: list[DataFrame], roots: DataFrame, arity: int = 2) -> DataFrame
         if not i:
             return met
         # Lower trees join further down, from their roots.
-        lower = below.join(level.select("tree").distinct(), "tree", "left_anti")
-        here = stored(met.select("tree", "idx", "proof").union(lower), "proofs")
+        lower = below.where(F.col("height") <= i).drop("height")
+        here = met.select("tree", "idx", "proof").union(lower)
+        here = stored(_sized(here, level.count()), "proofs")
 
 
 def folded(leaf: Column, proof: Column) -> Column:
@@ -151,11 +161,11 @@ def manifest(entries: DataFrame, key: str, order: str, leaf: str = "leaf", arity
     rows, subroots = levels(leaves, arity)
     subroots = stored(subroots, "subroots")
     n = subroots.count()
-    top, roots = levels(subroots.select(F.lit(0).cast("long").alias("tree"), F.lit(n).cast("long").alias("n"), F.col("tree").alias("idx"), "node"), arity)
+    top, roots = levels(subroots.select(F.lit(0).cast("long").alias("tree"), F.lit(n).cast("long").alias("n"), F.col("tree").alias("idx"), "node", F.col("height").alias("tall")), arity)
     root = roots.first()
-    start = subroots.sparkSession.range(1).select(F.col("id").alias("tree"), F.array().cast(PROOF).alias("proof"))
-    ends = stored(proofs(top, start, arity).select(F.col("idx").alias("tree"), "proof", hexed(F.col("node")).alias("subroot")), "ends")
-    found = proofs(rows, ends.select("tree", "proof"), arity)
+    start = roots.select("tree", "height", F.array().cast(PROOF).alias("proof"))
+    ends = stored(proofs(top, start, arity).select(F.col("idx").alias("tree"), F.col("tall").alias("height"), "proof", hexed(F.col("node")).alias("subroot")), "ends")
+    found = proofs(rows, ends.select("tree", "height", "proof"), arity)
     return (found.join(ends.select("tree", "subroot"), "tree").withColumn("root", F.lit(root.node.hex() if root else None).cast("string"))
             .drop("n", "tree", "node", "before", "after"))
 
