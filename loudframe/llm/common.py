@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_sample(rows: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` different rows, those with the smallest hashes of all their values; equal rows count once.
+
+    Only hashes are sorted, and as many of them as the limit, so the bound holds however often an id is repeated.
+    """
+    key = unique_name(rows, "__key")
+    keyed = rows.withColumn(key, F.xxhash64(*rows.columns))
+    last = keyed.select(key).distinct().orderBy(key).limit(limit).agg(F.max(key)).first()[0]
+    return keyed.where(F.col(key) <= F.lit(last)).dropDuplicates([key]).drop(key)
+
+
 def unique_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have, whatever its columns are called."""
     taken = {c.lower() for c in df.columns}
@@ -62,6 +75,21 @@ def worker_cache(name: str) -> dict:
     return holder.__dict__.setdefault(name, {})
 
 
+def one_thread() -> None:
+    """Matrix products of this worker run in one thread: Spark has a task for each core, and threads that wait for each other burn it.
+
+    The library reads its own variable only when it is loaded, so its setter is called; without one nothing changes.
+    """
+    if worker_cache("threads"):
+        return
+    worker_cache("threads")["set"] = True
+    for file in Path(np.__file__).resolve().parent.parent.glob("numpy.libs/*openblas*"):
+        library = ctypes.CDLL(str(file))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """All words between ASCII white space, A-Z in small letters if asked, and how many each text has. Null has none.
 

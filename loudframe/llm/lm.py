@@ -28,18 +28,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loudframe.llm.common import split_words, stored, text_parts
+from loudframe.llm.common import one_thread, split_words, stored, text_parts
 
 HIDDEN, CLASS_SIZE, CLASSES, OPEN = 16, 32, 32, 32
 #: Words whose counts travel to the workers.
 FREQUENT = 131_072
 ROUNDS, WINDOW, RATE = 6, 16, 0.01
 #: Texts that a fitting task follows side by side: as many as get LANE_WORDS each, within these bounds.
-LEAST_LANES, MOST_LANES, LANE_WORDS = 32, 256, 2_000
+LEAST_LANES, MOST_LANES, LANE_WORDS = 32, 512, 2_000
 #: Text handled at a time in a worker.
 PART_BYTES = 6 << 20
 #: Fitting tasks get about this many words a round.
-TASK_WORDS = 500_000
+TASK_WORDS = 1_000_000
 END = ""
 LOG10 = float(np.log(10))
 
@@ -267,6 +267,7 @@ def fit(docs: DataFrame, counts: DataFrame, text_col: str = "text", rounds: int
 
     def one_round(now: dict):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            one_thread()
             own = [x.astype(np.int64) for b in batches for x in b["numbers"]]
             if own:
                 new, n = _train(now, own)
@@ -355,6 +356,7 @@ def score(docs: DataFrame, counts: DataFrame, model: tuple[Vocabulary, dict] | N
     log_counts = np.log10(vocabulary.counts + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         for batch in batches:
             for part in text_parts(batch, batch.num_columns - 1, PART_BYTES):
                 sizes, codes, words = _words(part.column(part.num_columns - 1))
