@@ -11,13 +11,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loudframe.llm.common import unique_name
+from loudframe.llm.common import bounded_sample, unique_name
 
 #: Labelled documents that rules are fitted on, chosen by a hash of the id.
 MAX_LABELLED = 8_000
-TREES, DEPTH, BINS, MIN_LEAF = 20, 3, 32, 10
+TREES, DEPTH, BINS, MIN_LEAF = 40, 3, 32, 10
 #: Proximal gradient steps of the lasso.
-STEPS = 400
+STEPS = 1_500
 LASSO = 0.002
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -133,7 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         max_labelled: int = MAX_LABELLED) -> dict:
     """Fit on at most ``max_labelled`` labelled documents; the driver gets their statistics, not their texts.
 
-    Rows without id or label are left out. Without documents of both labels the model has no rules
+    Rows without id or label are left out, and rows equal in id, text and label count once; texts may be empty or
+    of any length, since only their statistics are kept. Without documents of both labels the model has no rules
     and every score is the share of good ones (one half without any label).
     """
     chosen = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
@@ -141,7 +142,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
               .orderBy(F.xxhash64("__id"), "__label").limit(max_labelled))
     met = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__text")).join(F.broadcast(chosen), "__id")
     stats = statistics(F.col("__text"))
-    got = met.select("__label", *(c.alias(k) for k, c in stats.items())).toPandas().sort_values(["__label", *stats])
+    # An id may be repeated in the documents: the bound holds for the rows that are met, too.
+    sample = bounded_sample(met, max_labelled)
+    got = sample.select("__label", *(c.alias(k) for k, c in stats.items())).toPandas().sort_values(["__label", *stats])
     y = got["__label"].to_numpy(float)
     if len(y) == 0 or y.min() == y.max():
         share = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
@@ -178,13 +181,20 @@ def _compiled(docs: DataFrame, model: dict, text_col: str) -> tuple[DataFrame, C
 
 
 def keep_good(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The documents whose score reaches the threshold, all columns as they are."""
+    """The documents whose score reaches the threshold, all columns as they are.
+
+    A null text counts as empty, whose statistics are zero; texts of any length are measured whole; repeated rows
+    are judged alike, an empty table stays empty, and columns may have any names.
+    """
     rows, linear = _compiled(docs, model, text_col)
     return rows.where(1 / (1 + F.exp(-linear)) >= threshold).select(*docs.columns)
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """All columns of every document, then score and predicted (a column of that name is replaced)."""
+    """All columns of every document, then score and predicted (a column of that name is replaced).
+
+    Nulls, empty and long texts, repeated rows and empty tables are treated as in ``keep_good``.
+    """
     rows, linear = _compiled(docs, model, text_col)
     kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     scored = rows.select(*kept, (1 / (1 + F.exp(-linear))).alias("score"))

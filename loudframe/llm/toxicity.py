@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loudframe.llm.common import split_words, stored, text_parts
+from loudframe.llm.common import bounded_sample, split_words, stored, text_parts
 
 #: Bytes of text that a worker cuts into words at a time.
 PART_BYTES = 4 << 20
@@ -244,14 +244,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         max_labelled: int = MAX_LABELLED) -> dict:
     """Fit lexicon, field and document score on at most ``max_labelled`` labelled documents.
 
-    Rows without id or label are left out. A document with several labels counts once for each.
+    Rows without id or label are left out, and rows equal in id, text and label count once. A document with
+    several labels counts once for each.
     Without a toxic or without a clean document every score is the known share of toxic ones.
     """
     chosen = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
               .select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"))
               .orderBy(F.xxhash64("__id"), "label").limit(max_labelled))
-    sample = stored(docs.select(docs[id_col].alias("__id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-                    .join(F.broadcast(chosen), "__id").select("text", "label"), "toxicity-sample")
+    met = (docs.select(docs[id_col].alias("__id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+           .join(F.broadcast(chosen), "__id"))
+    # An id may be repeated in the documents: the bound holds for the rows that are met, too.
+    sample = stored(bounded_sample(met, max_labelled).select("text", "label"), "toxicity-sample")
     n_clean, n_toxic = (sample.where(F.col("label") == k).count() for k in (0, 1))
     model = {"lexicon": {}, "theta": np.zeros(1), "bias": -5.0, "trans": np.zeros((2, 2)),
              "score": np.array([np.log((n_toxic + 0.5) / (n_clean + 0.5)), 0.0, 0.0, 0.0])}
@@ -308,7 +311,11 @@ def score(docs: DataFrame, model: dict, columns: tuple[str, ...] = ("doc_id",),
 
 
 def drop_toxic(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The documents whose score is below the threshold, all columns as they are."""
+    """The documents whose score is below the threshold, all columns as they are.
+
+    A null text counts as empty and stays, as it has no toxic word; texts of any length are read whole, in slices of a
+    batch; repeated rows are judged alike, an empty table stays empty, and columns may have any names.
+    """
     at = docs.columns.index(text_col)
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
