@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from loudframe.llm.common import bounded_sample, split_words, stored, text_parts
 
 #: Bytes of text that a worker cuts into words at a time.
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 #: Labelled documents that the field is fitted on, chosen by a hash of the id.
 MAX_LABELLED = 10_000
 MAX_LEXICON = 20_000
