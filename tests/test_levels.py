@@ -87,3 +87,9 @@ def test_limit_by_peak_compat_checks_the_own_gain(spark):
     assert (limited.steps, limited.warning) == (1, "gain reduced from 2 to 1 steps to prevent clipping (peak: 0.9000)")
     unlimited = one(spark, G.limit_by_peak(F.lit(2), F.lit(0.5), F.lit(0.9), prevent=True, compat=True))[0]
     assert (unlimited.steps, unlimited.warning) == (2, None)
+
+
+def test_logarithm_of_zero_and_below(spark):
+    rows = spark.createDataFrame([(0.0,), (-0.0,), (100.0,), (-1.0,), (float("nan"),), (None,)], "v double")
+    got = [r[0] for r in rows.select(F.round(L.log10(F.col("v")), 9)).collect()]
+    assert got[:3] == [float("-inf"), float("-inf"), 2.0] and math.isnan(got[3]) and math.isnan(got[4]) and got[5] is None
