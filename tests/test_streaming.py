@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loudframe import schemas
+from loudframe.contracts import QUERIES
 from loudframe.operators import filtering as FI
 from loudframe.operators import ledger as LE
 from loudframe.operators import ordered as O
@@ -132,3 +133,11 @@ def test_a_hundred_batches_leave_few_folders(spark, tmp_path):
     assert len(table.manifest().folders) <= 11
     got = {r.bin: (r.cnt, r.peak) for r in SL.read_histogram(spark, keys, target).collect()}
     assert got == {b: (25, 96.0 + b) for b in range(4)}
+
+
+@pytest.mark.parametrize("name", ["stream_filter", "stream_filter_ends", "incremental_catalog"])
+def test_tables_in_folders_of_files_are_streamed(spark, tmp_path, name):
+    for table in ("embeddings", "pages"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    got, want = (sorted(QUERIES[name](spark, d).collect()) for d in (str(tmp_path), "/root/testdata/sf0.001"))
+    assert got == want and got
