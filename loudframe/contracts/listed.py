@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loudframe.contracts.roles import ORACLES, contract, table
+from loudframe.contracts.roles import ORACLES, contract, directory, table
 from loudframe.contracts.tags import _boxed_documents, _tagged_documents
 from loudframe.session import fresh_path
 from loudframe.sources import catalog as CA
@@ -21,7 +21,7 @@ def _put(rows: DataFrame, folder: str) -> None:
 
 def _named(spark, sf_dir) -> DataFrame:
     ending = F.element_at(F.array(*[F.lit(e) for e in (".mp3", ".M4A", ".txt", ".aac", "")]), (F.col("doc_id") % 5 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "lang", F.concat(F.col("doc_id").cast("string"), ending)).alias("path"),
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", directory(F.col("doc_id")), "lang", F.concat(F.col("doc_id").cast("string"), ending)).alias("path"),
                                                     F.col("text").alias("content"))
 
 
@@ -52,7 +52,7 @@ def streamed_files(spark, sf_dir):
 
 def _ranged(spark, rows: DataFrame, kind: str, ending: str) -> DataFrame:
     folder = fresh_path(spark, f"ranged-{kind}")
-    _put(rows.withColumn("path", F.concat("path", F.lit(f".{ending}"))), folder)
+    _put(rows.withColumn("path", F.concat(directory(F.col("path").cast("bigint")), F.lit("/"), "path", F.lit(f".{ending}"))), folder)
     found = RA.read_regions(spark, folder, kind, (ending,))
     return found.withColumn("path", F.regexp_extract("path", r"([^/]+)\.[^.]+$", 1))
 

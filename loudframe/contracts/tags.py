@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loudframe import constants as C
 from loudframe.contracts.frames import _be32, _join, _le32, _text, _zeros
-from loudframe.contracts.roles import KEYS, TAGS, TRACKS, contract, spread, table, tags, windows
+from loudframe.contracts.roles import KEYS, TAGS, TRACKS, contract, directory, spread, table, tags, windows
 from loudframe.functions import tags as T
 from loudframe.operators import loudness as LO
 from loudframe.operators import tagtables as TT
@@ -233,7 +233,7 @@ def _tagged_documents(spark, sf_dir):
     size = F.length("items") + 32
     footer = _join(_text("APETAGEX"), _le32(version), _le32(size), _le32(F.lit(3)), _zeros(12))
     content = _join(_utf8(F.col("text")), F.when(d % 5 != 0, _join(F.col("items"), footer)), F.when(d % 3 == 0, F.lit(b"TAG" + bytes(125))))
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), directory(d))
     return docs.withColumn("items", items).select(d.cast("string").alias("path"), content.alias("content"))
 
 
@@ -264,7 +264,7 @@ def _boxed_documents(spark, sf_dir):
         free("com.apple.iTunes", "encoder", F.lit("y")),
         F.when(d % 3 == 0, free("com.apple.iTunes", "replaygain_track_gain", F.lit("newer"))),
     )
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).withColumn("tags", ilst)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), directory(d)).withColumn("tags", ilst)
     docs = docs.withColumn("meta", box("meta", _zeros(4), box("hdlr", _zeros(4)), box("ilst", F.col("tags"))))
     moov = box("moov", box("mvhd", _zeros(8)), box("udta", F.col("meta")))
     content = _join(box("ftyp", _text("M4A isom")), box("mdat", _utf8(F.col("text"))), F.when(d % 4 != 0, moov))

@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ SCHEMA = "path string, length bigint, content binary, bytes_read bigint, error s
 FORMAT = "tag_regions"
 #: Files of a task, at most; their sizes don't matter, since a task reads a few KB of each.
 FILES_PER_TASK = 2_000
+#: Files and bytes of a batch of rows, about.
+BATCH_FILES, BATCH_BYTES = 500, 1 << 20
 #: A trailing tag's footer, before which a tag of 128 bytes of the older kind may lie.
 FOOTER, TAIL = 32, 160
 
@@ -114,6 +117,11 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
         system, region = fs.FileSystem.from_uri(partition.root)[0], _REGIONS[self._kind]
         schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("content", pa.binary()), ("bytes_read", pa.int64()), ("error", pa.string())])
+        rows, size = [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), schema.types)], schema=schema)
+
         for path, length in partition.files:
             content, read, error = None, 0, None
             try:
@@ -122,7 +130,13 @@ class _Reader(DataSourceReader):
                     content, read = region(file), file.read_bytes
             except OSError as e:  # a file that can't be opened is a row with its error, not the end of the job
                 error = f"Failed to open: {e}"
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((path, length, content, read, error), schema.types)], schema=schema)
+            rows.append((path, length, content, read, error))
+            size += len(content or b"")
+            if len(rows) == BATCH_FILES or size >= BATCH_BYTES:
+                yield batch()
+                rows, size = [], 0
+        if rows:
+            yield batch()
 
 
 class TagRegions(DataSource):
@@ -172,8 +186,8 @@ def write_files(rows: DataFrame, folder: str, path: str = "path", content: str =
                     made.add(parent)
                 temporary = f"{parent}/.{uuid.uuid4().hex}.tmp"
                 with system.open_output_stream(temporary) as out:
-                    out.write(data[i].as_py() or b"")
+                    out.write(data[i].as_buffer() or b"")
                 system.move(temporary, target)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(data[i].as_py() or b"") for i in range(len(names))], pa.int64())], names=["path", "length"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.fill_null(pc.binary_length(data), 0).cast(pa.int64())], names=["path", "length"])
 
     return rows.select(F.col(path).alias("path"), F.col(content).cast("binary").alias("content")).mapInArrow(put, "path string, length bigint")

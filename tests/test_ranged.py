@@ -5,6 +5,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from loudframe.contracts.roles import ROWS_PER_TASK, spread
 from loudframe.sources import files as FS
 from loudframe.sources import ranged as RA
 
@@ -73,3 +74,8 @@ def test_a_folder_without_files_and_a_wrong_kind(spark, tmp_path):
     assert RA.read_regions(spark, str(tmp_path / "f"), "ape").count() == 0
     with pytest.raises(Exception, match="kind must be"):
         RA.read_regions(spark, str(tmp_path / "f"), "mp5").count()
+
+
+def test_tasks_of_spread_rows_grow_with_the_table(spark):
+    dealt = spread(spark.range(20 * ROWS_PER_TASK, numPartitions=2))
+    assert dealt.rdd.getNumPartitions() == 20 and dealt.count() == 20 * ROWS_PER_TASK
