@@ -63,3 +63,16 @@ def test_incremental_catalog_sees_each_file_once(spark, tmp_path):
     (source / "later.mp3").write_bytes(b"1")
     assert run() == ["a.m4a", "b.MP3", "c.aac", "d.mp4", "later.mp3"]
     assert run() == ["a.m4a", "b.MP3", "c.aac", "d.mp4", "later.mp3"]
+
+
+def test_many_files_take_few_tasks(spark, tmp_path):
+    for i in range(700):
+        (tmp_path / "in" / f"d{i % 40}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / f"d{i % 40}" / f"{i}.mp3").write_bytes(b"1" * (i % 3 + 1))
+    most = CA.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    listed = CA.audio_catalog(spark, str(tmp_path / "in"))
+    assert listed.rdd.getNumPartitions() <= most and listed.count() == 700
+    stream = CA.incremental_catalog(spark, str(tmp_path / "in")).select("path", "length")
+    CA.append_new_files(stream, str(tmp_path / "log"), str(tmp_path / "mark")).awaitTermination()
+    assert spark.read.json(str(tmp_path / "log")).count() == 700
+    assert len(list((tmp_path / "log").glob("part-*"))) <= most
