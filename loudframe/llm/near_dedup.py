@@ -1,9 +1,11 @@
-"""One document of each group of near-duplicate texts, by minimum hashes and exact verification.
+"""One document of each group of near-duplicate texts, by SimHash fingerprints, minimum hashes and exact verification.
 
 Groups are joined by similarity (Jaccard) of ``similarity`` or more on sets of ``shingle`` words.
-Two texts have equal minimum hashes with just the probability of their similarity, whatever their
-length, vocabulary or the size of the table. Texts that agree in all hashes of a band are
-candidates, and their exact similarity decides. Equal texts are one entry. Candidate groups are
+Texts whose fingerprints of these shingles differ in few bits are candidates, all of them, found by
+multi-index hashing as in ``simhash``. Pairs at the bound lie further apart than that: two texts
+have equal minimum hashes with just the probability of their similarity, whatever their length,
+vocabulary or the size of the table, so texts that agree in all hashes of a band are candidates,
+too. Their exact similarity decides. Equal texts are one entry. Candidate groups are
 verified in blocks of bounded size and, where a group has several, in pairs of blocks; only
 verified links decide, all together, which text of a component stays.
 """
@@ -19,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loudframe.llm import simhash
 from loudframe.llm.common import one_thread, split_words, stored, text_parts
 from loudframe.llm.components import components, local_forest
 
@@ -46,9 +49,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+def _shingle_sets(words: pa.Array, sizes: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of each text's different shingles, text after text, and their numbers; a shorter text is one shingle, an empty one has none."""
-    words, sizes = split_words(texts)
     coded = words.dictionary_encode()
     distinct = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
     word = np.array([xxhash.xxh64_intdigest(w) for w in distinct], np.uint64)[coded.indices.to_numpy()] if len(words) else np.empty(0, np.uint64)
@@ -68,13 +70,14 @@ def _shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _band_keys(shingle: int, bands: int, rows: int):
-    """For each text one key per band, of the minimum hashes of its shingles. Texts without words share theirs."""
+    """For each text its fingerprint and one key per band, of the minimum hashes of its shingles. Texts without words share theirs."""
     odd = np.random.default_rng(3).integers(0, 1 << 63, (bands, rows), np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_parts(batch, 2, 1 << 20):
-                value, n = _shingle_sets(part.column(2), shingle)
+                words, sizes = split_words(part.column(2))
+                value, n = _shingle_sets(words, sizes, shingle)
                 some = np.flatnonzero(n)
                 first = (np.cumsum(n) - n)[some]
                 keys = np.zeros((len(n), bands), np.uint64)
@@ -86,8 +89,9 @@ def _band_keys(shingle: int, bands: int, rows: int):
                     keys[:, b] = b
                     keys[some, b] = key
                 offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands)
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel()))],
-                                                 names=["doc_id", "digest", "bands"])
+                prints = simhash.fingerprints_of(words, sizes, shingle)
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel())), pa.array(prints.view(np.int64))],
+                                                 names=["doc_id", "digest", "bands", "fp"])
     return run
 
 
@@ -96,7 +100,7 @@ def _shingles(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_parts(batch, batch.num_columns - 1, 1 << 20):
-                value, n = _shingle_sets(part.column(part.num_columns - 1), shingle)
+                value, n = _shingle_sets(*split_words(part.column(part.num_columns - 1)), shingle)
                 out = [x.tobytes() for x in np.split(value, np.cumsum(n)[:-1])]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.binary())], names=[*batch.schema.names[:-1], "shingles"])
     return run
@@ -203,6 +207,14 @@ def verified_links(sets: DataFrame, similarity: float, block: int | None = None)
     return first.union(second)
 
 
+def _fingerprint_links(classes: DataFrame) -> DataFrame:
+    """(a, b): links that join all texts whose fingerprints differ in a few bits, directly or by others."""
+    distinct = stored(classes.groupBy("fp").agg(F.min("cls").alias("node")), "fingerprints")
+    near = simhash.near_links(distinct)
+    same = classes.join(distinct, "fp").where("cls <> node").select(F.col("cls").alias("a"), F.col("node").alias("b"))
+    return same.union(near)
+
+
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(digest, doc_id) keys of the documents that go, and keys that stay but occur on several rows.
 
@@ -210,13 +222,14 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     slim = docs.select(docs[id_col].cast("long").alias("doc_id"), F.sha2(text, 256).alias("digest"), text.alias("text"))
-    prints = stored(slim.mapInArrow(_band_keys(shingle, *band_plan(similarity)), "doc_id long, digest string, bands array<long>"), "prints")
-    classes = stored(prints.groupBy("digest").agg(F.min("doc_id").alias("low"), F.first("bands").alias("bands"))
+    prints = stored(slim.mapInArrow(_band_keys(shingle, *band_plan(similarity)), "doc_id long, digest string, bands array<long>, fp long"), "prints")
+    classes = stored(prints.groupBy("digest").agg(F.min("doc_id").alias("low"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
                      .withColumn("cls", F.monotonically_increasing_id()), "texts")
     # All texts of a band's cell are linked to its first, which makes them one group of candidates.
     cells = classes.select("cls", F.posexplode("bands").alias("band", "key"))
     lowest = cells.groupBy("band", "key").agg(F.min("cls").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    groups = components(cells.join(lowest, ["band", "key"]).where("cls <> b").select(F.col("cls").alias("a"), "b"))
+    banded = cells.join(lowest, ["band", "key"]).where("cls <> b").select(F.col("cls").alias("a"), "b")
+    groups = components(banded.union(_fingerprint_links(classes)))
     texts = (slim.join(classes.join(groups, classes["cls"] == groups["node"]).select(
         F.col("digest").alias("same"), "low", "cls", F.col("root").alias("group")).transform(lambda x: _checked(stored(x, "groups"))),
         (F.col("digest") == F.col("same")) & F.col("doc_id").eqNullSafe(F.col("low"))).select("group", "cls", "low", "text"))

@@ -32,7 +32,7 @@ CHUNK_WORDS, CHUNK_PAIRS = 200_000, 2_000_000
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def _fingerprints(words: pa.Array, sizes: np.ndarray, shingle: int, seed: int) -> np.ndarray:
+def fingerprints_of(words: pa.Array, sizes: np.ndarray, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """Fingerprints of texts given as one array of words and the words of each text."""
     out = np.zeros(len(sizes), np.uint64)
     full = np.flatnonzero(sizes >= shingle)
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), text_c
             found = []
             for part in text_parts(batch, batch.num_columns - 1, CHUNK_WORDS * 6):
                 words, sizes = split_words(part.column(part.num_columns - 1))
-                found.append(_fingerprints(words, sizes, shingle, seed))
+                found.append(fingerprints_of(words, sizes, shingle, seed))
             fp = np.concatenate(found) if found else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
 
@@ -160,13 +160,18 @@ def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def near_links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
+    """(a, b): enough links between nodes of a table (node, fp), whose fingerprints differ in at most ``radius`` bits, to join what they join."""
+    return links(distinct, ["fp"], radius, BITS // segments, radius // segments)
+
+
 def group_by_fingerprint(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
     """Rows of ``prints`` (id and fp) with ``component_id``, the smallest id reachable by links, the row's own included.
 
     Rows without an id take part in links; a component of such rows only has a null id.
     """
     distinct = stored(prints.groupBy("fp").agg(F.min(id_col).alias("low")), "fingerprints")
-    roots = components(links(distinct.select(F.col("fp").alias("node"), "fp"), ["fp"], radius, BITS // segments, radius // segments))
+    roots = components(near_links(distinct.select(F.col("fp").alias("node"), "fp"), radius, segments))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.where("root <> fp OR low IS NOT NULL").groupBy("root").agg(F.min("low").alias("component_id"))
     ids = rooted.join(lowest, "root", "left").select(F.col("fp").alias("__fp"), "component_id")
