@@ -38,6 +38,8 @@ ROUNDS, WINDOW, RATE = 6, 16, 0.01
 LEAST_LANES, MOST_LANES, LANE_WORDS = 32, 512, 2_000
 #: Text handled at a time in a worker.
 PART_BYTES = 6 << 20
+#: States that a scoring worker holds before it tells their words.
+STATES = 30_000
 #: Fitting tasks get about this many words a round.
 TASK_WORDS = 1_000_000
 END = ""
@@ -118,41 +120,59 @@ def _start(seed: int, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
             "ww": np.zeros((CLASSES, HIDDEN, CLASS_SIZE)), "bw": word}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _softmax(z: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials of rows z (overwritten), their sums, and the log-probability of each row's column ``own``.
+
+    Rows need their own largest value taken away only where exponentials could overflow or a sum could vanish.
+    """
+    rows, ones = np.arange(len(z)), np.ones(z.shape[1], z.dtype)
+    if z.max(initial=0) > 60:
+        z -= z.max(axis=1, keepdims=True)
+    told = z[rows, own]
+    e = np.exp(z)
+    total = e @ ones  # sums of short rows are faster as a product
+    if total.min(initial=1) < 1e-25:
+        top = z.max(axis=1, keepdims=True)
+        e, told = np.exp(z - top), told - top[:, 0]
+        total = e @ ones
+    return e, total, told - np.log(total)
 
 
 def _outputs(p: dict, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log-probability (natural) of numbers y after states h: class, then word within it. With grads also the states' gradients."""
     k = np.where(y < CLASS_SIZE * CLASSES, y // CLASS_SIZE, CLASSES + y - CLASS_SIZE * CLASSES)
-    z = h @ p["wc"] + p["bc"]
-    z -= z.max(axis=1, keepdims=True)
-    e = np.exp(z)
-    total = e.sum(axis=1)
-    rows = np.arange(len(y))
-    out = z[rows, k] - np.log(total)
+    # In order of the classes, so that each class is one slice.
+    order = np.argsort(k.astype(np.uint8), kind="stable")
+    borders = np.searchsorted(k[order], np.arange(CLASSES + 1))
+    k, h, word = k[order], h[order], y[order] % CLASS_SIZE
+    z = h @ p["wc"]
+    z += p["bc"]
+    e, total, told = _softmax(z, k)
     back = None
     if grads is not None:
-        d = e / total[:, None]
-        d[rows, k] -= 1
-        grads["wc"], grads["bc"], back = h.T @ d, d.sum(axis=0), d @ p["wc"].T
+        e *= (1 / total)[:, None]
+        e[np.arange(len(y)), k] -= 1
+        grads["wc"], grads["bc"], back = h.T @ e, np.ones(len(e), e.dtype) @ e, e @ p["wc"].T
         grads["ww"], grads["bw"] = np.zeros_like(p["ww"]), np.zeros_like(p["bw"])
-    order = np.argsort(k, kind="stable")
-    borders = np.searchsorted(k[order], np.arange(CLASSES + 1))
     for c in range(CLASSES):
-        at = order[borders[c]:borders[c + 1]]
-        if not len(at):
+        at = slice(borders[c], borders[c + 1])
+        if at.start == at.stop:
             continue
-        z = h[at] @ p["ww"][c] + p["bw"][c]
-        z -= z.max(axis=1, keepdims=True)
-        e = np.exp(z)
-        total, w, own = e.sum(axis=1), y[at] % CLASS_SIZE, np.arange(len(at))
-        out[at] += z[own, w] - np.log(total)
+        z = h[at] @ p["ww"][c]
+        z += p["bw"][c]
+        e, total, inner = _softmax(z, word[at])
+        told[at] += inner
         if grads is not None:
-            d = e / total[:, None]
-            d[own, w] -= 1
-            grads["ww"][c], grads["bw"][c] = h[at].T @ d, d.sum(axis=0)
-            back[at] += d @ p["ww"][c].T
+            e *= (1 / total)[:, None]
+            e[np.arange(len(e)), word[at]] -= 1
+            grads["ww"][c], grads["bw"][c] = h[at].T @ e, np.ones(len(e), e.dtype) @ e
+            back[at] += e @ p["ww"][c].T
+    out = np.empty_like(told)
+    out[order] = told
+    if back is not None:
+        given = np.empty_like(back)
+        given[order] = back
+        back = given
     return out, back
 
 
@@ -162,40 +182,58 @@ def _window(p: dict, h: np.ndarray, reads: np.ndarray, x: np.ndarray, new: np.nd
     Rows are steps, columns lanes: ``reads`` are the words read before each step, ``x`` the words to be
     told, ``new`` marks the first word of a document, whose state starts anew. States that come into the window are constants.
     """
-    trace = []
-    for read, first in zip(reads, new):
-        h = h * ~first[:, None]
-        g = p["x"][read] + p["b"]
-        gates = _sigmoid(g[:, :2 * HIDDEN] + h @ p["u"])
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        n = np.tanh(g[:, 2 * HIDDEN:] + (r * h) @ p["s"])
-        trace.append((h, z, r, n))
-        h = h + z * (n - h)
-    states = np.concatenate([prev + z * (n - prev) for prev, z, _, n in trace])
+    steps, lanes = x.shape
+    table = p["x"] + p["b"]
+    table[:, :2 * HIDDEN] *= 0.5  # a sigmoid is half a tanh of half
+    u, live = p["u"] * h.dtype.type(0.5), (~new).astype(h.dtype)[:, :, None]
+    prevs, gates, inner, states = (np.empty((steps, lanes, n * HIDDEN), h.dtype) for n in (1, 2, 1, 1))
+    for t in range(steps):
+        prev, gate, n = prevs[t], gates[t], inner[t]
+        np.multiply(h, live[t], out=prev)
+        g = table[reads[t]]
+        np.matmul(prev, u, out=gate)
+        gate += g[:, :2 * HIDDEN]
+        np.tanh(gate, out=gate)
+        gate *= 0.5
+        gate += 0.5
+        np.matmul(gate[:, HIDDEN:] * prev, p["s"], out=n)
+        n += g[:, 2 * HIDDEN:]
+        np.tanh(n, out=n)
+        h = states[t]
+        np.subtract(n, prev, out=h)
+        h *= gate[:, :HIDDEN]
+        h += prev
     grads: dict = {}
-    _, back = _outputs(p, states, x.ravel(), grads)
-    back = back.reshape(*x.shape, HIDDEN)
-    for k in ("x", "u", "s"):
-        grads[k] = np.zeros_like(p[k])
-    inputs = np.empty((*x.shape, 3 * HIDDEN), h.dtype)
-    dh = np.zeros_like(h)
-    for t in reversed(range(len(x))):
-        prev, z, r, n = trace[t]
-        dh = dh + back[t]
-        dn = dh * z * (1 - n * n)
-        drh = dn @ p["s"].T
-        d = np.concatenate([dh * (n - prev) * z * (1 - z), drh * prev * r * (1 - r)], axis=1)
-        grads["s"] += (r * prev).T @ dn
-        grads["u"] += prev.T @ d
-        inputs[t] = np.concatenate([d, dn], axis=1)
-        dh = (dh * (1 - z) + drh * r + d @ p["u"].T) * ~new[t][:, None]
+    _, back = _outputs(p, states.reshape(-1, HIDDEN), x.ravel(), grads)
+    back = back.reshape(steps, lanes, HIDDEN)
+    z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
+    kept = r * prevs
+    # What the gradients of a step's outputs are multiplied by, for all steps at once.
+    by_n, by_z, by_r, stay = z * (1 - inner * inner), (inner - prevs) * z * (1 - z), kept * (1 - r), 1 - z
+    inputs = np.empty((steps, lanes, 3 * HIDDEN), h.dtype)
+    dh, ut, st = np.zeros_like(h), np.ascontiguousarray(p["u"].T), np.ascontiguousarray(p["s"].T)
+    for t in reversed(range(steps)):
+        dh += back[t]
+        d, dn = inputs[t, :, :2 * HIDDEN], inputs[t, :, 2 * HIDDEN:]
+        np.multiply(dh, by_n[t], out=dn)
+        drh = dn @ st
+        np.multiply(dh, by_z[t], out=d[:, :HIDDEN])
+        np.multiply(drh, by_r[t], out=d[:, HIDDEN:])
+        dh *= stay[t]
+        drh *= r[t]
+        dh += drh
+        dh += d @ ut
+        dh *= live[t]
     # Gradients of a word that was read several times are added up in order of the words.
     words, inputs = reads.ravel(), inputs.reshape(-1, 3 * HIDDEN)
-    order = np.argsort(words, kind="stable")
+    grads["u"] = prevs.reshape(-1, HIDDEN).T @ inputs[:, :2 * HIDDEN]
+    grads["s"] = kept.reshape(-1, HIDDEN).T @ inputs[:, 2 * HIDDEN:]
+    order = np.argsort(words.astype(np.int16), kind="stable")
     starts = np.flatnonzero(np.append(True, np.diff(words[order]) > 0))
+    grads["x"] = np.zeros_like(p["x"])
     grads["x"][words[order[starts]]] = np.add.reduceat(inputs[order], starts)
-    grads["b"] = inputs.sum(axis=0)
-    return grads, h
+    grads["b"] = np.ones(len(inputs), inputs.dtype) @ inputs
+    return grads, states[-1]
 
 
 def _train(p: dict, docs: list[np.ndarray]) -> tuple[dict, int]:
@@ -337,7 +375,7 @@ def _score(p: dict, sizes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
         targets.append(read)
         owners.append(order[:k])
         held += k
-        if held > 100_000:
+        if held > STATES:
             flush()
     flush()
     return out

@@ -105,3 +105,28 @@ def test_training_beats_the_shares_it_starts_from():
         p, n = lm._train(p, docs)
     after = lm._score(p, sizes, numbers).sum()
     assert n > 0.9 * sum(map(len, docs)) and after > 0.75 * before
+
+
+@pytest.mark.parametrize("shift", [0, 500, -500])
+def test_softmax_of_rows_far_apart(shift):
+    """Rows that would overflow or vanish beside others are as exact as by the definition."""
+    z = np.random.default_rng(9).normal(0, 3, (6, 8)).astype(np.float32) + np.float32(shift) * np.arange(6, dtype=np.float32)[:, None]
+    own, exact = np.arange(6) % 8, z.astype(np.float64)
+    top = exact.max(axis=1, keepdims=True)
+    share = np.exp(exact - top) / np.exp(exact - top).sum(axis=1, keepdims=True)
+    e, total, told = lm._softmax(z.copy(), own)
+    assert e / total[:, None] == pytest.approx(share, rel=1e-3, abs=1e-30)
+    assert told == pytest.approx(np.log(share[np.arange(6), own]), rel=1e-4, abs=1e-4)
+
+
+def test_scoring_holds_few_states_at_a_time(model, monkeypatch):
+    """States are told in portions that fit a core's cache, with the same result."""
+    p, every = model
+    p = {k: v.astype(np.float32) for k, v in p.items()}
+    sizes = np.full(50, 60)
+    numbers = np.random.default_rng(10).choice(every, sizes.sum())
+    want, held, outputs = lm._score(p, sizes, numbers), [], lm._outputs
+    monkeypatch.setattr(lm, "STATES", 400)
+    monkeypatch.setattr(lm, "_outputs", lambda p, h, y: held.append(len(h)) or outputs(p, h, y))
+    assert lm._score(p, sizes, numbers) == pytest.approx(want, rel=1e-5)
+    assert max(held) <= 450 and sum(held) == sizes.sum()
