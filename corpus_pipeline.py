@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loudframe.llm import decontamination, near_dedup, packing, quality, toxicity
-from loudframe.llm.common import stored, table
+from loudframe.llm.common import TEXT_ROWS, arrow_rows, stored, table
 from loudframe.llm.queries import tokenizer_path
 
 
@@ -18,7 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text counts as empty and stays; long texts are read whole; repeated rows are judged alike; an empty table stays empty; further columns stay.
     """
-    return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    with arrow_rows(spark, TEXT_ROWS):
+        return stored(toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), "not-toxic")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is an end id alone; a long text is cut over several sequences; repeated rows are packed each; an empty table gives no pieces.
     """
-    return packing.pack_documents(docs, tokenizer_path())
+    with arrow_rows(spark, TEXT_ROWS):
+        return stored(packing.pack_documents(docs, tokenizer_path()), "pieces")
 
 
 STAGES = [

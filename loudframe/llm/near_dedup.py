@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loudframe.llm import simhash
-from loudframe.llm.common import one_thread, split_words, stored, text_parts
+from loudframe.llm.common import TEXT_ROWS, arrow_rows, one_thread, releasing, split_words, stored, text_parts
 from loudframe.llm.components import components, local_forest
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -35,6 +35,8 @@ BLOCK = 512
 #: Bytes of shingle hashes that a block of usual texts may have; a text with more than its share of them counts as several.
 BLOCK_BYTES = 32 << 20
 BROADCAST_ROWS = 1_000_000
+#: Bytes of text that a worker cuts into shingles at a time.
+PART_BYTES = 1 << 19
 
 
 def band_plan(similarity: float) -> tuple[int, int]:
@@ -75,7 +77,7 @@ def _band_keys(shingle: int, bands: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_parts(batch, 2, 1 << 20):
+            for part in text_parts(batch, 2, PART_BYTES):
                 words, sizes = split_words(part.column(2))
                 value, n = _shingle_sets(words, sizes, shingle)
                 some = np.flatnonzero(n)
@@ -99,7 +101,7 @@ def _shingles(shingle: int):
     """The last column's texts become their sorted shingle hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_parts(batch, batch.num_columns - 1, 1 << 20):
+            for part in text_parts(batch, batch.num_columns - 1, PART_BYTES):
                 value, n = _shingle_sets(*split_words(part.column(part.num_columns - 1)), shingle)
                 out = [x.tobytes() for x in np.split(value, np.cumsum(n)[:-1])]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.binary())], names=[*batch.schema.names[:-1], "shingles"])
@@ -176,7 +178,8 @@ def verified_links(sets: DataFrame, similarity: float, block: int | None = None)
 
     def compare(dealt: DataFrame) -> DataFrame:
         dealt = dealt.toDF("k1", "k2", "cls", "shingles").repartition("k1", "k2").sortWithinPartitions("k1", "k2", "cls")
-        return stored(dealt.mapInArrow(_verified(similarity), "a long, b long"), "verified")
+        with arrow_rows(dealt.sparkSession, TEXT_ROWS):
+            return stored(dealt.mapInArrow(releasing(_verified(similarity)), "a long, b long"), "verified")
 
     sizes = sets.groupBy("group").agg(F.sum("units").alias("n"), F.count("*").alias("texts")).where("texts > 1").drop("texts")
     first = compare(sets.join(sizes, "group").select("group", F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / block)), "cls", "shingles"))
@@ -222,7 +225,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     slim = docs.select(docs[id_col].cast("long").alias("doc_id"), F.sha2(text, 256).alias("digest"), text.alias("text"))
-    prints = stored(slim.mapInArrow(_band_keys(shingle, *band_plan(similarity)), "doc_id long, digest string, bands array<long>, fp long"), "prints")
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        prints = stored(slim.mapInArrow(releasing(_band_keys(shingle, *band_plan(similarity))), "doc_id long, digest string, bands array<long>, fp long"), "prints")
     classes = stored(prints.groupBy("digest").agg(F.min("doc_id").alias("low"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
                      .withColumn("cls", F.monotonically_increasing_id()), "texts")
     # All texts of a band's cell are linked to its first, which makes them one group of candidates.
@@ -233,7 +237,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     texts = (slim.join(classes.join(groups, classes["cls"] == groups["node"]).select(
         F.col("digest").alias("same"), "low", "cls", F.col("root").alias("group")).transform(lambda x: _checked(stored(x, "groups"))),
         (F.col("digest") == F.col("same")) & F.col("doc_id").eqNullSafe(F.col("low"))).select("group", "cls", "low", "text"))
-    sets = stored(texts.dropDuplicates(["cls"]).mapInArrow(_shingles(shingle), "group long, cls long, low long, shingles binary"), "shingles")
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        sets = stored(texts.dropDuplicates(["cls"]).mapInArrow(releasing(_shingles(shingle)), "group long, cls long, low long, shingles binary"), "shingles")
     roots = components(verified_links(sets.select("group", "cls", "shingles"), similarity))
     rooted = stored(classes.select("cls", "low").join(roots, F.col("cls") == roots["node"]).select("cls", "low", "root"), "rooted")
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("low").isNull(), "low", "cls")).alias("best")).select("root", F.col("best.cls").alias("stays"))

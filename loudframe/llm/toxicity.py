@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loudframe.llm.common import bounded_sample, split_words, stored, text_parts
+from loudframe.llm.common import bounded_sample, releasing, split_words, stored, text_parts
 
 #: Bytes of text that a worker cuts into words at a time.
 PART_BYTES = 1 << 20
@@ -325,4 +325,4 @@ def drop_toxic(docs: DataFrame, model: dict, text_col: str = "text", threshold:
             p = 1 / (1 + np.exp(-np.clip(_summary(doc, m, np.diff(borders)) @ model["score"], -30, 30)))
             yield batch.filter(pa.array(p < threshold))
 
-    return docs.mapInArrow(per_batch, docs.schema)
+    return docs.mapInArrow(releasing(per_batch), docs.schema)
