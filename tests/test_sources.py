@@ -76,3 +76,15 @@ def test_many_files_take_few_tasks(spark, tmp_path):
     CA.append_new_files(stream, str(tmp_path / "log"), str(tmp_path / "mark")).awaitTermination()
     assert spark.read.json(str(tmp_path / "log")).count() == 700
     assert len(list((tmp_path / "log").glob("part-*"))) <= most
+
+
+def test_a_stream_keeps_no_file_names_on_the_driver(spark, tmp_path):
+    source, log, mark = (tmp_path / n for n in ("in", "log", "mark"))
+    tree(source)
+    (source / "sub" / "empty.mp3").write_bytes(b"")
+    stream = CA.incremental_catalog(spark, str(source)).select("path", "length")
+    CA.append_new_files(stream, str(log), str(mark)).awaitTermination()
+    assert sorted((os.path.basename(r.path), r.length) for r in spark.read.json(str(log)).collect()) == [
+        ("a.m4a", 5), ("b.MP3", 5), ("c.aac", 5), ("d.mp4", 5), ("empty.mp3", 0)]
+    told = [p.read_text(errors="replace") for part in ("sources", "offsets", "commits") for p in (mark / part).rglob("*") if p.is_file()]
+    assert told and not any("c.aac" in t for t in told)
