@@ -88,3 +88,21 @@ def test_a_stream_keeps_no_file_names_on_the_driver(spark, tmp_path):
         ("a.m4a", 5), ("b.MP3", 5), ("c.aac", 5), ("d.mp4", 5), ("empty.mp3", 0)]
     told = [p.read_text(errors="replace") for part in ("sources", "offsets", "commits") for p in (mark / part).rglob("*") if p.is_file()]
     assert told and not any("c.aac" in t for t in told)
+
+
+def test_a_catalog_is_listed_by_tasks(spark, tmp_path):
+    # Deep folders, names that a URI would need to escape, names that are passed over; times and paths as Spark has them.
+    for name in ("a.mp3", "1/2/3/4/5/6/deep.mp3", "x y%20z/é#?.m4a", "1/_no/b.mp3", "1/.no/b.mp3", "1/_k=v/yes.mp3", "1/2/_no.mp3", "1/2/no.txt"):
+        path = tmp_path / "in" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"12345")
+    spark_has = CA.catalog_filter(CA.read_files(spark, str(tmp_path / "in")), extensions=("mp3", "m4a"), skip_forks=False)
+    want = sorted(tuple(r) for r in spark_has.select("path", "length", "modificationTime").collect())
+    (tmp_path / "in/1/2/empty.mp3").write_bytes(b"")
+    found = CA.audio_catalog(spark, str(tmp_path / "in"))
+    got = sorted(tuple(r) for r in found.collect())
+    empty = [r for r in got if r[1] == 0]
+    assert len(want) == 4 and [r for r in got if r[1]] == want and [os.path.basename(r[0]) for r in empty] == ["empty.mp3"]
+    assert found.inputFiles() == []
+    assert names(CA.audio_catalog(spark, [str(tmp_path / "in/a.mp3"), str(tmp_path / "in/1/2/3")])) == ["a.mp3", "deep.mp3"]
+    assert names(CA.audio_catalog(spark, str(tmp_path / "in/x*"))) == ["é#?.m4a"]
