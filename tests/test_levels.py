@@ -1,9 +1,11 @@
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from loudframe.contracts import ORACLES, QUERIES
 from loudframe.functions import gains as G
 from loudframe.functions import levels as L
 
@@ -93,3 +95,20 @@ def test_logarithm_of_zero_and_below(spark):
     rows = spark.createDataFrame([(0.0,), (-0.0,), (100.0,), (-1.0,), (float("nan"),), (None,)], "v double")
     got = [r[0] for r in rows.select(F.round(L.log10(F.col("v")), 9)).collect()]
     assert got[:3] == [float("-inf"), float("-inf"), 2.0] and math.isnan(got[3]) and math.isnan(got[4]) and got[5] is None
+
+
+def test_saturation_leaves_null(spark):
+    nothing = F.lit(None).cast("double")
+    assert one(spark, L.saturating_int(nothing), L.db_to_steps(nothing), L.level_bin(nothing)) == (None, None, None)
+
+
+def test_level_math_on_odd_values(spark, tmp_path):
+    # Nothing, less than nothing, factors of ten digits and more, values beyond 32 bits.
+    values = [None, 0.0, -0.0, -1.5, 0.5, 1e-300, 1013.28, 2457.86, 4457.94, 2.0**31 + 250.5, -3e9, 4e15, 6.1e9 + 0.3] + [1000 + i * 1.37 for i in range(3000)]
+    spark.createDataFrame(list(enumerate(values)), "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = con.execute(ORACLES["level_math"]).to_arrow_table().to_pylist()
+    got = QUERIES["level_math"](spark, str(tmp_path)).toArrow().to_pylist()
+    by_id = lambda rows: [repr(r) for r in sorted(rows, key=lambda r: r["event_id"])]
+    assert by_id(got) == by_id([{k: r[k] for k in got[0]} for r in want])
