@@ -19,10 +19,23 @@ def _put(rows: DataFrame, folder: str) -> None:
     RA.write_files(rows, folder).agg(F.sum("length")).collect()
 
 
+#: Whether a file's row has a lang and a text, its lang, its name; the number before the name keeps files of equal ids apart.
+_NAME = r"([ln])([tn])-([^/]*)/\d+-([^/]+)$"
+
+
 def _named(spark, sf_dir) -> DataFrame:
-    ending = F.element_at(F.array(*[F.lit(e) for e in (".mp3", ".M4A", ".txt", ".aac", "")]), (F.col("doc_id") % 5 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", directory(F.col("doc_id")), "lang", F.concat(F.col("doc_id").cast("string"), ending)).alias("path"),
-                                                    F.col("text").alias("content"))
+    """A file for each document, whatever its id and lang: the lang stands encoded in a directory's name, with what a file can't tell."""
+    number, ending = F.monotonically_increasing_id(), F.get(F.array(*[F.lit(e) for e in (".mp3", ".M4A", ".txt", ".aac", "")]), (F.col("doc_id") % 5).cast("int"))
+    has = lambda name, sign: F.when(F.col(name).isNull(), "n").otherwise(sign)
+    folder = F.concat(has("lang", "l"), has("text", "t"), F.lit("-"), F.url_encode(F.coalesce("lang", F.lit(""))))
+    file = F.concat((number % 1000).cast("string"), F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(ending, F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", directory(number), folder, file).alias("path"), F.col("text").alias("content"))
+
+
+def _documents_of(files: DataFrame) -> DataFrame:
+    """(path, length) of the documents whose files these are."""
+    part = lambda i: F.regexp_extract("path", _NAME, i)
+    return files.select(F.when(part(1) == "l", F.concat(F.url_decode(part(3)), F.lit("/"), part(4))).alias("path"), F.when(part(2) == "t", F.col("length")).alias("length"))
 
 
 _LISTED = f"""
@@ -34,7 +47,7 @@ def listed_files(spark, sf_dir):
     """The audio files of a tree of directories."""
     folder = fresh_path(spark, "listed")
     _put(_named(spark, sf_dir), folder)
-    return CA.audio_catalog(spark, folder).select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("path"), "length")
+    return _documents_of(CA.audio_catalog(spark, folder))
 
 
 @contract(_LISTED)
@@ -46,8 +59,7 @@ def streamed_files(spark, sf_dir):
             _put(part, f"{folder}/files")
         found = CA.incremental_catalog(spark, f"{folder}/files").select("path", "length")
         CA.append_new_files(found, f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
-    log = spark.read.schema("path string, length bigint").json(f"{folder}/log")
-    return log.select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("path"), "length")
+    return _documents_of(spark.read.schema("path string, length bigint").json(f"{folder}/log"))
 
 
 def _ranged(spark, rows: DataFrame, kind: str, ending: str) -> DataFrame:
